@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import scalars  # noqa: F401
+from . import consensus, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

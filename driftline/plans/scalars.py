@@ -543,10 +543,10 @@ def _(t):
 
 @query(
     "f34_diffraction_floor",
-    f"SELECT p_partkey, {R('206265.0e0*(400+p_partkey%400)*1e-9/greatest(p_size*0.0137e0,0.05e0)', 'a', 5)} FROM part",
+    f"SELECT p_partkey, {R('206265.0e0*(400+p_partkey%400)*1e-9/greatest(p_size*0.0137e0,0.05e0)', 'a', 4)} FROM part",
 )
 def _(t):
-    return out(t.part, ["p_partkey"], 5, a=O.diffraction_floor_arcsec(400.0 + c("p_partkey") % 400, c("p_size") * 0.0137))
+    return out(t.part, ["p_partkey"], 4, a=O.diffraction_floor_arcsec(400.0 + c("p_partkey") % 400, c("p_size") * 0.0137))
 
 
 # Frames carry three colour planes here: rows 0-1 red, 2-3 green, 4-5 blue of the 8 x 8 values.
