@@ -46,7 +46,8 @@ def _stretch(flattening) -> Column:
 
 def _radius_term(lat, flattening) -> Column:
     la = F.radians(as_col(lat))
-    return F.pow(F.cos(la), 2) + F.pow(F.sin(la) / _stretch(flattening), 2)
+    c, s = F.cos(la), F.sin(la) / _stretch(flattening)
+    return c * c + s * s
 
 
 def spheroid_radius_km(lat, flattening=FLATTENING) -> Column:
@@ -61,8 +62,8 @@ def km_per_deg_lat(lat) -> Column:
     """Arc length per degree of planetocentric latitude: sqrt(r'(lat)^2 + r^2)."""
     k = 1.0 - FLATTENING
     u = _radius_term(lat, FLATTENING)
-    r = REQ_KM * F.pow(u, F.lit(-0.5))
-    slope = -0.5 * REQ_KM * F.pow(u, F.lit(-1.5)) * F.sin(2.0 * F.radians(as_col(lat))) * (1.0 / (k * k) - 1.0)
+    r = REQ_KM / F.sqrt(u)
+    slope = -0.5 * r / u * F.sin(2.0 * F.radians(as_col(lat))) * (1.0 / (k * k) - 1.0)
     return F.sqrt(slope * slope + r * r) * (math.pi / 180.0)
 
 

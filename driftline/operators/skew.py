@@ -59,7 +59,9 @@ def order_statistics(df: DataFrame, keys: list[str], value, ranks: dict[str, Col
     """
     gk = keys or ["_g"]
     v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # The explode of one element keeps a costly value expression from being copied into every use of it.
+    base = df.select(*keys, F.explode(F.array(v.cast("double"))).alias("_v"))
+    base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if not keys:
         base = base.withColumn("_g", F.lit(1))
     base = base.withColumn("_b", radix_bucket(F.col("_v")))

@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import campaigns, consensus, scalars  # noqa: F401
+from . import campaigns, consensus, scalars, series_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

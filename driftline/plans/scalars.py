@@ -210,8 +210,8 @@ def _(t):
     return df.select("ord", "lon", F.round(T.drift_model_relative("t_us"), 4).alias("rel"))
 
 
-def wind_sql(la):
-    rows = PL.planet_row("Jupiter")[5]
+def wind_sql(la, planet="Jupiter"):
+    rows = PL.planet_row(planet)[5]
     out_ = f"WHEN {la}>={rows[-1][0]} THEN {rows[-1][1]}e0 "
     for (a, u), (b, v) in zip(rows, rows[1:]):
         out_ += f"WHEN {la}<{b} THEN {u}e0+({v - u}e0)*({la}-{a}e0)/{b - a}e0 "
