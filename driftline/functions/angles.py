@@ -30,6 +30,12 @@ def as_col(x) -> Column:
     return F.lit(float(x))
 
 
+def clip(x, lo: float, hi: float) -> Column:
+    """Into [lo, hi]; NULL stays NULL (greatest and least alone would skip it)."""
+    v = as_col(x)
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(float(lo))), F.lit(float(hi))))
+
+
 def wrap_deg(x) -> Column:
     """Into [0, 360)."""
     return F.pmod(as_col(x), F.lit(360.0))

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .angles import FLATTENING, as_col, wrap_deg
-
-
-def _clip(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+from .angles import FLATTENING, as_col, clip, wrap_deg
 
 
 def body_xyz(lon_rel, lat, flattening=FLATTENING) -> tuple[Column, Column, Column]:
@@ -51,7 +47,7 @@ def pixel_to_lonlat(x, y, xc, yc, a_eq_px, cm=0.0, sub_lat=0.0, north_pa=0.0, fl
     depth = (-b + F.sqrt(F.greatest(disc, F.lit(0.0)))) / (2.0 * a)
     by, bz = vy * cd + depth * sd, -vy * sd + depth * cd
     radius = F.sqrt(vx * vx + by * by + bz * bz)
-    lat = F.degrees(F.asin(_clip(by / (radius + 1e-15), -1.0, 1.0)))
+    lat = F.degrees(F.asin(clip(by / (radius + 1e-15), -1.0, 1.0)))
     return wrap_deg(as_col(cm) + F.degrees(F.atan2(vx, bz))), lat, on_disk
 
 
@@ -60,11 +56,11 @@ def emission_cosine(lon_rel, lat, sub_lat=0.0, flattening=FLATTENING) -> Column:
     ny = y / F.pow(1.0 - as_col(flattening), 2)
     d = F.radians(as_col(sub_lat))
     norm = F.sqrt(x * x + ny * ny + z * z) + 1e-12
-    return _clip((ny * F.sin(d) + z * F.cos(d)) / norm, 0.0, 1.0)
+    return clip((ny * F.sin(d) + z * F.cos(d)) / norm, 0.0, 1.0)
 
 
 def map_to_lonlat(cx, cy, width: int, height: int, cm, lat_top, lat_bottom) -> tuple[Column, Column]:
     """Map column/row to lon/lat: the relative longitude is interpolated and clamped, wrapping comes last."""
-    rel = _clip(-90.0 + as_col(cx) / max(width - 1, 1) * 180.0, -90.0, 90.0)
+    rel = clip(-90.0 + as_col(cx) / max(width - 1, 1) * 180.0, -90.0, 90.0)
     step = (as_col(lat_bottom) - as_col(lat_top)) / max(height - 1, 1)
     return wrap_deg(as_col(cm) + rel), as_col(lat_top) + as_col(cy) * step

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .angles import ARCSEC_PER_RAD, as_col
+from .angles import ARCSEC_PER_RAD, as_col, clip
 
 
 def air_index(lam_nm, pressure_mbar, temp_c, rel_humidity, co2_ppm=450.0) -> Column:
@@ -27,7 +27,7 @@ def air_index(lam_nm, pressure_mbar, temp_c, rel_humidity, co2_ppm=450.0) -> Col
 
 def dispersion_arcsec(z_deg, lam1, lam2, pressure_mbar=1013.25, temp_c=15.0, rel_humidity=0.5) -> Column:
     dn = air_index(lam1, pressure_mbar, temp_c, rel_humidity) - air_index(lam2, pressure_mbar, temp_c, rel_humidity)
-    z = F.radians(F.least(F.greatest(as_col(z_deg), F.lit(0.0)), F.lit(89.9)))
+    z = F.radians(clip(z_deg, 0.0, 89.9))
     return dn * F.tan(z) * (180.0 / math.pi) * 3600.0
 
 
@@ -42,12 +42,12 @@ def simple_refraction_arcsec(z_deg, pressure_mbar, temp_c, lam_um) -> Column:
     sig2 = F.pow(1.0 / F.greatest(as_col(lam_um), F.lit(0.2)), 2)
     n1 = 1e-8 * (8342.54 + 2406147.0 / (130.0 - sig2) + 15998.0 / (38.9 - sig2))
     n1 = n1 * (as_col(pressure_mbar) / 1013.25) * (288.15 / (as_col(temp_c) + 273.15))
-    z = F.radians(F.least(F.greatest(as_col(z_deg), F.lit(0.0)), F.lit(89.0)))
+    z = F.radians(clip(z_deg, 0.0, 89.0))
     return F.degrees(n1 * F.tan(z)) * 3600.0
 
 
 def limb_law(mu, u1=0.6, u2=0.2) -> Column:
-    x = 1.0 - F.least(F.greatest(as_col(mu), F.lit(0.0)), F.lit(1.0))
+    x = 1.0 - clip(mu, 0.0, 1.0)
     return 1.0 - u1 * x - u2 * x * x
 
 
@@ -77,7 +77,7 @@ def luma(r, g, b) -> Column:
 
 
 def _pos(x: Column) -> Column:
-    return F.greatest(x, F.lit(0.0))
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
 
 
 def red_excess(r, b) -> Column:
@@ -103,5 +103,4 @@ def to_ycbcr(r, g, b) -> tuple[Column, Column, Column]:
 
 def from_ycbcr(y, cb, cr) -> tuple[Column, Column, Column]:
     y, cb, cr = as_col(y), as_col(cb) - 0.5, as_col(cr) - 0.5
-    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    return unit(y + 1.402 * cr), unit(y - 0.344136 * cb - 0.714136 * cr), unit(y + 1.772 * cb)
+    return tuple(clip(x, 0.0, 1.0) for x in (y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb))

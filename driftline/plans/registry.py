@@ -28,6 +28,8 @@ def with_ctes(sql: str) -> str:
     head = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in CTES if n in used)
     if not head:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

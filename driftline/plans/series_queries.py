@@ -189,7 +189,7 @@ _CM = f"""k AS (SELECT series_id, t_us, ord, {W('lon*1.4e0')} AS cm, (ord%7-3)::
 o AS (SELECT series_id, t_us, ord FROM d_series WHERE source<>'signup'),
 pv AS (SELECT o.series_id, o.t_us, o.ord, k.t_us AS t1, k.cm AS c1, k.sub_lat AS s1, k.np_pa AS p1, k.au AS a1 FROM o ASOF LEFT JOIN k ON o.series_id=k.series_id AND o.t_us>=k.t_us),
 nx AS (SELECT pv.*, k.t_us AS t2, k.cm AS c2, k.sub_lat AS s2, k.np_pa AS p2, k.au AS a2 FROM pv ASOF LEFT JOIN k ON pv.series_id=k.series_id AND pv.t_us<=k.t_us),
-u AS (SELECT *, (t_us-t1)/greatest((t2-t1)::DOUBLE,1e-3) AS u FROM nx WHERE t1 IS NOT NULL OR t2 IS NOT NULL)"""
+u AS (SELECT *, CASE WHEN t1 IS NOT NULL AND t2 IS NOT NULL THEN (t_us-t1)/greatest((t2-t1)::DOUBLE,1e-3) END AS u FROM nx WHERE t1 IS NOT NULL OR t2 IS NOT NULL)"""
 
 
 @query(

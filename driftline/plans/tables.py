@@ -111,7 +111,7 @@ class Tables:
             (F.col("l_orderkey") % 64).alias("frame_idx"),
             (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("ap_id"),
             F.col("l_orderkey").alias("track_ord"),
-            (F.col("l_quantity") - 25.0).alias("ap_lat"),
+            ((F.col("l_quantity") - 25.5) * 3.4).alias("ap_lat"),
             (60.0 * F.col("l_linenumber")).alias("dt_s"),
             ((F.col("l_discount") - 0.05) * 40.0 + F.pmod(price, F.lit(1.0))).alias("dx"),
             ((F.col("l_tax") - 0.04) * 20.0 + F.pmod(price, F.lit(3.0)) * 0.1).alias("dy"),
@@ -178,7 +178,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS resolutio
  (4.0+l_quantity/25.0)::DOUBLE AS distance_au FROM lineitem""",
     "d_tracks": """
 SELECT l_returnflag AS capture_id, l_orderkey%64 AS frame_idx, l_partkey*8+l_linenumber AS ap_id,
- l_orderkey AS track_ord, (l_quantity-25.0)::DOUBLE AS ap_lat, (60.0*l_linenumber)::DOUBLE AS dt_s,
+ l_orderkey AS track_ord, ((l_quantity-25.5::DOUBLE)*3.4::DOUBLE) AS ap_lat, (60.0*l_linenumber)::DOUBLE AS dt_s,
  ((l_discount-0.05::DOUBLE)*40.0::DOUBLE + fmod(l_extendedprice,1.0::DOUBLE)) AS dx,
  ((l_tax-0.04::DOUBLE)*20.0::DOUBLE + fmod(l_extendedprice,3.0::DOUBLE)*0.1::DOUBLE) AS dy,
  (l_tax*50.0)::DOUBLE AS snr FROM lineitem""",
