@@ -137,6 +137,31 @@ class Tables:
             "v",
         )
 
+    @cached_property
+    def jobs(self) -> DataFrame:
+        """One wide row per job, with gaps."""
+        k = F.col("o_orderkey")
+        some = lambda m, x: F.when(k % m != 0, x)
+        pick = lambda n, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (k % n + 1).cast("int"))
+        j = self.orders.select(
+            k.alias("job_id"), wrap_deg(F.col("o_totalprice") / 97.0).alias("lon"),
+            some(29, -19.8 + (k % 23 - 11) * 1.3).alias("lat"),
+            pick(5, "spice_auto", "analytical", "horizons", "user_cm", "unknown").alias("cm_source"),
+            some(13, (k % 31) * 0.4).alias("limb"), some(17, (k % 53) * 0.9).alias("def_spread"),
+            ((k % 11) * 12.0).alias("time_err"), (k % 3 == 0).alias("orange_ok"), (k % 5 == 0).alias("orange_near_limb"),
+            pick(6, "GS-MAP", "GS-ORANGE", "GS-BARY", "CHAMPION", "UNBEATABLE_AUTO", "PIPELINE").alias("definition"),
+            (k % 21).alias("n_in"), (k % 15).alias("n_out"), ((k % 20) * 0.1).alias("sig_lon"),
+            ((k % 14) * 0.1).alias("sig_lat"), (1 + k % 4).alias("n_clusters"), ((k % 9) * 0.5).alias("pipe_sky"),
+            pick(4, "METHOD_GOOD", "RESEARCH_FAIR", "NEEDS_WORK", "").alias("pipe_grade"), (k % 10 != 0).alias("has_time"),
+            (30.0 + k % 70).alias("a_eq"), (4.0 + (k % 25) * 0.1).alias("distance_au"),
+        )
+        k = F.col("job_id")
+        return j.withColumns({
+            "pipe_lon": some(19, wrap_deg(F.col("lon") + (k % 17 - 8) * 4.5)), "cm": wrap_deg(F.col("lon") + (k % 37 - 18) * 5.0),
+            "orange_lon": F.col("lon") + (k % 9 - 4), "manual_lon": some(4, F.col("lon") + (k % 7 - 3) * 0.3),
+            "manual_lat": some(4, F.col("lat") + (k % 3 - 1) * 0.2),
+        })
+
     @cached_property
     def usage(self) -> DataFrame:
         return self.events.select(
@@ -186,6 +211,16 @@ SELECT l_returnflag AS capture_id, l_orderkey%64 AS frame_idx, l_partkey*8+l_lin
     "d_pixels": """
 SELECT capture_id, frame_idx, (pos//8)::INTEGER AS y, (pos%8)::INTEGER AS x, v FROM (
  SELECT capture_id, frame_idx, unnest(range(64)) AS pos, unnest(data) AS v FROM d_frames)""",
+    "d_jobs": f"""
+SELECT *, CASE WHEN job_id%19<>0 THEN {_WRAP.format('(lon+(job_id%17-8)*4.5e0)')} END AS pipe_lon,
+ {_WRAP.format('(lon+(job_id%37-18)*5.0e0)')} AS cm, lon+(job_id%9-4) AS orange_lon,
+ CASE WHEN job_id%4<>0 THEN lon+(job_id%7-3)*0.3e0 END AS manual_lon, CASE WHEN job_id%4<>0 THEN lat+(job_id%3-1)*0.2e0 END AS manual_lat FROM (
+SELECT o_orderkey AS job_id, {_WRAP.format('(o_totalprice/97.0e0)')} AS lon, CASE WHEN o_orderkey%29<>0 THEN -19.8e0+(o_orderkey%23-11)*1.3e0 END AS lat,
+ ['spice_auto','analytical','horizons','user_cm','unknown'][o_orderkey%5+1] AS cm_source, CASE WHEN o_orderkey%13<>0 THEN (o_orderkey%31)*0.4e0 END AS limb,
+ CASE WHEN o_orderkey%17<>0 THEN (o_orderkey%53)*0.9e0 END AS def_spread, (o_orderkey%11)*12.0e0 AS time_err, o_orderkey%3=0 AS orange_ok, o_orderkey%5=0 AS orange_near_limb,
+ ['GS-MAP','GS-ORANGE','GS-BARY','CHAMPION','UNBEATABLE_AUTO','PIPELINE'][o_orderkey%6+1] AS definition, o_orderkey%21 AS n_in, o_orderkey%15 AS n_out,
+ (o_orderkey%20)*0.1e0 AS sig_lon, (o_orderkey%14)*0.1e0 AS sig_lat, 1+o_orderkey%4 AS n_clusters, (o_orderkey%9)*0.5e0 AS pipe_sky,
+ ['METHOD_GOOD','RESEARCH_FAIR','NEEDS_WORK',''][o_orderkey%4+1] AS pipe_grade, o_orderkey%10<>0 AS has_time, 30.0e0+o_orderkey%70 AS a_eq, 4.0e0+(o_orderkey%25)*0.1e0 AS distance_au FROM orders)""",
     "d_usage": """
 SELECT event_id AS ord, epoch_us(ts) AS t_us, event_type AS action, user_id AS machine, props AS detail FROM events""",
 }

@@ -132,15 +132,16 @@ def _(t):
 
 @query(
     "w06_jets",
-    f"""WITH {_WB}, n AS (SELECT *, lag(resid) OVER w AS p, lead(resid) OVER w AS nx FROM wb WINDOW w AS (PARTITION BY capture_id ORDER BY bin)),
-j AS (SELECT *, CASE WHEN abs(p-2*resid+nx)>1e-12 THEN least(greatest(0.5*(p-nx)/(p-2*resid+nx),-1),1) ELSE 0 END AS sh FROM n WHERE ((resid>p AND resid>nx) OR (resid<p AND resid<nx)) AND abs(resid)>=0.0001*greatest(resid_std,1e-9)),
+    f"""WITH {_WB.replace("wb AS (", "wb0 AS (")}, wb AS (SELECT * REPLACE (resid_std*sin(2.0e0*bin) AS resid) FROM wb0), n AS (SELECT *, lag(resid) OVER w AS p, lead(resid) OVER w AS nx FROM wb WINDOW w AS (PARTITION BY capture_id ORDER BY bin)),
+j AS (SELECT *, CASE WHEN abs(p-2*resid+nx)>1e-12 THEN least(greatest(0.5*(p-nx)/(p-2*resid+nx),-1),1) ELSE 0 END AS sh FROM n WHERE ((resid>p AND resid>nx) OR (resid<p AND resid<nx)) AND abs(resid)>=0.5*greatest(resid_std,1e-9)),
 k AS (SELECT *, resid-0.25*(p-nx)*sh AS pk FROM j),
 l AS (SELECT k.capture_id, k.bin, coalesce(max(b.bin) FILTER (WHERE b.bin<k.bin),-1) AS le, coalesce(min(b.bin) FILTER (WHERE b.bin>k.bin),11) AS ri FROM k LEFT JOIN wb b ON b.capture_id=k.capture_id AND coalesce(NOT (b.resid*k.pk>0 AND abs(b.resid)>abs(k.pk/2)),true) GROUP BY 1,2)
 SELECT capture_id, bin, {R('abs_lat+sh*90.0e0/11', 'abs_lat', 5)}, {R('pk', 'u_mps', 3)}, {R('greatest(resid_std,1e-9)', 'std_mps', 3)}, {R('abs(pk)/greatest(resid_std,1e-9)', 'significance')},
  CASE WHEN pk>0 THEN 'prograde' ELSE 'retrograde' END AS direction, {R('(ri-le-1)*90.0e0/11', 'fwhm')} FROM k JOIN l USING (capture_id, bin)""",
 )
 def _(t):
-    j = TR.jets(wind(t), CAP, 90.0 / 11, 0.0001)
+    w = wind(t).withColumn("resid", c("resid_std") * F.sin(2.0 * c("bin")))  # a wavy profile with the measured scatter
+    j = TR.jets(w, CAP, 90.0 / 11, 0.5)
     return j.select(
         "capture_id", "bin", "direction", F.round("abs_lat", 5).alias("abs_lat"), F.round("u_mps", 3).alias("u_mps"),
         F.round("std_mps", 3).alias("std_mps"), F.round("significance", 6).alias("significance"), F.round("fwhm", 6).alias("fwhm"))
