@@ -598,7 +598,7 @@ def _(t):
     mu = N.emission_cosine("lon", "lat")
     p = disk_geometry(t).where(c("on") & (c("v") > 0)).select(
         "capture_id", F.ln(F.greatest(mu, F.lit(0.05))).alias("lm"), F.ln("v").alias("li"))
-    p = p.withColumn("bin", F.floor((c("lm") + 3.0) / 0.25).cast("int"))
+    p = skew.cut(p.withColumn("bin", F.floor((c("lm") + 3.0) / 0.25).cast("int")))
     k = ["capture_id", "bin"]
     b = skew.group_quantiles(p, k, "lm", {"x": 0.5}).join(skew.group_quantiles(p, k, "li", {"y": 0.5}).drop("n"), k)
     b = skew.cut(b.where("n >= 20").withColumn("w", c("n").cast("double")).drop("n"))
