@@ -372,7 +372,7 @@ _NAMES = """(SELECT *, CASE o_orderkey%7 WHEN 0 THEN strftime(ts,'%Y-%m-%d-%H%M_
 
 @query(
     "f24_time_from_name",
-    f"""SELECT o_orderkey, name, CASE WHEN o_orderkey%7 IN (1,3) THEN epoch_us(ts) WHEN o_orderkey%7=6 THEN NULL
+    f"""SELECT o_orderkey, name, CASE WHEN year(ts)<2000 THEN NULL WHEN o_orderkey%7 IN (1,3) THEN epoch_us(ts) WHEN o_orderkey%7=6 THEN NULL
  ELSE epoch_us(date_trunc('minute',ts)) END AS t_us FROM {_NAMES}""",
 )
 def _(t):
