@@ -42,6 +42,13 @@ def planet_row(name: str):
     return next(p for p in PLANETS if p[0] == name)
 
 
+def with_constants(df: DataFrame, name: str) -> DataFrame:
+    """One planet's row as literal columns: req_km, rpol_km, period_s and the wind table."""
+    _, req, rpol, period, _, wind = planet_row(name)
+    table = F.array(*[F.struct(F.lit(a).alias("abs_lat"), F.lit(u).alias("u")) for a, u in wind])
+    return df.withColumns({"req_km": F.lit(req), "rpol_km": F.lit(rpol), "period_s": F.lit(period), "wind": table})
+
+
 def wind_at(lat, wind="wind") -> Column:
     """Linear in |lat| between table rows, clamped at both ends."""
     la, tab = F.abs(as_col(lat)), as_col(wind)

@@ -38,7 +38,10 @@ def within(limit: float) -> Column:
 
 
 def summary(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, fail rate, bias, spread, quantiles, maxima and pass rates per cell; columns of `with_errors` and ok."""
+    """Counts, fail rate, bias, spread, quantiles, maxima and pass rates per cell; columns of `with_errors` and ok.
+
+    For the overall row use `with_overall` first.
+    """
     good = df.where("ok")
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"))
     agg = good.groupBy(*keys).agg(
@@ -48,7 +51,7 @@ def summary(df: DataFrame, keys: list[str]) -> DataFrame:
         within(1.0).alias("within_10"),
     )
     q = measure_quantiles(good, keys, ["abs_dlon", "abs_dlat", "sky"], {"med": 0.5, "p90": 0.9, "p99": 0.99})
-    out = n.join(agg, keys, "left").join(q, keys, "left") if keys else n.join(agg, how="cross").join(q, how="cross")
+    out = n.join(agg, keys, "left").join(q, keys, "left")
     return out.withColumn("fail_rate", 1.0 - F.col("n_ok") / F.col("n"))
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from driftline.functions.angles import wrap_deg, wrap_diff
 
+from .skew import attach
+
 c = F.col
 
 
@@ -370,7 +372,7 @@ def cylindrical_map(frames: DataFrame, width: int, height: int, keys, nav: dict,
     spark = frames.sparkSession
     grid = spark.createDataFrame(
         [(map_w * map_h, cells)], "n int, cells array<struct<row:int,col:int,y:int,x:int,fy:double,fx:double>>")
-    f = frames.crossJoin(F.broadcast(grid))  # one row of geometry
+    f = attach(frames, grid, [])  # one row of geometry
     f = f.select(*keys, "data", F.explode("cells").alias("g"))
     at = lambda dy, dx: F.get("data", (c("g.y") + dy) * width + c("g.x") + dx)
     fy, fx = c("g.fy"), c("g.fx")

@@ -150,7 +150,7 @@ def drizzle(px: DataFrame, factor: int, pixfrac: float, height: int, width: int)
 def calibrate(px: DataFrame, dark: DataFrame, flat: DataFrame) -> DataFrame:
     """Subtract the dark, divide by the flat over its median. Calibration frames hold one image: broadcast."""
     f = flat.groupBy().agg(F.percentile("f", 0.5).alias("_m"))
-    flat = flat.crossJoin(F.broadcast(f)).select("y", "x", (c("f") / (c("_m") + 1e-12)).alias("_f"))
+    flat = attach(flat, f, []).select("y", "x", (c("f") / (c("_m") + 1e-12)).alias("_f"))
     r = px.join(F.broadcast(dark), ["y", "x"], "left").join(F.broadcast(flat), ["y", "x"], "left")
     v = c("v") - F.coalesce("d", F.lit(0.0))
     return r.select("capture_id", "frame_idx", "y", "x", (v / F.when(F.abs("_f") > 1e-12, c("_f"))).alias("v"))

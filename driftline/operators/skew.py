@@ -35,7 +35,8 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     `small` has one row per key and is repeated once per salt. Without keys it is a single row and is broadcast.
     """
     if not keys:
-        return big.join(F.broadcast(small), how="cross")
+        one = F.lit(1).alias("_one")
+        return big.select("*", one).join(F.broadcast(small.select("*", one)), "_one", how).drop("_one")
     plain = [f.name for f in big.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

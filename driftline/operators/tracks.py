@@ -40,14 +40,13 @@ def gate_track(x, y, xc, yc, a_eq, dx, dy, prior_dx, prior_dy=0.0, limb_rr=0.93,
     return F.coalesce(ok, F.lit(False))
 
 
-def wind_bins(tracks: DataFrame, by: list[str], planet: DataFrame, a_eq_px: float, n_bins: int = N_BINS) -> DataFrame:
+def wind_bins(tracks: DataFrame, by: list[str], planet: str, a_eq_px: float, n_bins: int = N_BINS) -> DataFrame:
     """Residual wind per |lat| bin: median of track winds after two rounds of 3.5 sigma MAD rejection.
 
     A bin stops when nothing is rejected or fewer than three tracks would stay; it then keeps the old median, as the
     last rejection still applies to the scatter. Bins without tracks stay NULL.
     """
-    p = F.broadcast(planet)  # one row of a fixed five-row dimension
-    t = usable(tracks).crossJoin(p).withColumn("u", PL.wind_at("ap_lat"))
+    t = PL.with_constants(usable(tracks), planet).withColumn("u", PL.wind_at("ap_lat"))
     rate = -F.col("dx") / (F.col("dt_s") * PL.px_per_deg_lon("ap_lat", a_eq_px))
     du = F.radians(rate - PL.cloud_rate("ap_lat", "u")) * PL.parallel_radius_m("ap_lat")
     k = [*by, "bin"]
@@ -75,7 +74,7 @@ def wind_bins(tracks: DataFrame, by: list[str], planet: DataFrame, a_eq_px: floa
             .select(*k, F.when(F.col("done"), F.col("med")).otherwise(F.col("_new")).alias("med"), "done")
         )
     final = state.join(spread(rows, state), k).join(seen, k).join(frames, k)
-    whole = bin_skeleton(tracks.select(*by).distinct(), n_bins).join(final, k, "left").crossJoin(p)
+    whole = PL.with_constants(bin_skeleton(tracks.select(*by).distinct(), n_bins).join(final, k, "left"), planet)
     scale = F.radians(PL.parallel_radius_m("abs_lat"))
     whole = whole.withColumn("u", PL.wind_at("abs_lat"))
     model = PL.cloud_rate("abs_lat", "u")
@@ -105,21 +104,21 @@ def weighted_offset(df: DataFrame, by: list[str], value: Column, sigma: Column)
     ).withColumn("reduced_chi2", F.col("chi2") / F.greatest(F.col("n_bins") - 1, F.lit(1)))
 
 
-def offsets(bins: DataFrame, by: list[str], planet: DataFrame) -> DataFrame:
+def offsets(bins: DataFrame, by: list[str], planet: str) -> DataFrame:
     """Uniform wind offset and uniform angular offset with the period correction it implies."""
-    e = evidence_bins(bins).crossJoin(F.broadcast(planet))
+    e = PL.with_constants(evidence_bins(bins), planet)
     fac = F.degrees(F.lit(86400.0)) / PL.parallel_radius_m("abs_lat")
     wind = weighted_offset(e, by, F.col("resid"), F.col("resid_std")).select(
         *by, "n_bins", F.col("mean").alias("u0_mps"), F.col("sigma").alias("u0_std"), F.col("reduced_chi2").alias("u0_rchi2"))
     ang = weighted_offset(e, by, F.col("resid") * fac, F.col("resid_std") * fac).select(
         *by, F.col("mean").alias("d_omega"), F.col("sigma").alias("d_omega_std"), F.col("reduced_chi2").alias("d_omega_rchi2"))
-    out = wind.join(ang, by).crossJoin(F.broadcast(planet))
+    out = PL.with_constants(wind.join(ang, by), planet)
     turn = PL.rotation_rate() * 86400.0
     return out.withColumns({
         "period_correction_s": -F.col("period_s") * F.col("d_omega") / turn,
         "equator_u": F.radians("d_omega") / 86400.0 * PL.parallel_radius_m(F.lit(0.0)),
         "preferred": F.when(F.col("d_omega_rchi2") < F.col("u0_rchi2"), F.lit("angular")).otherwise(F.lit("uniform_mps")),
-    }).drop("planet", "req_km", "rpol_km", "period_s", "distance_au", "wind")
+    }).drop("req_km", "rpol_km", "period_s", "wind")
 
 
 def profile_summary(bins: DataFrame, by: list[str]) -> DataFrame:
@@ -163,13 +162,12 @@ def jets(bins: DataFrame, by: list[str], bin_width: float, k_sigma: float = 3.0)
     )
 
 
-def dx_profile(tracks: DataFrame, by: list[str], dt: Column, planet: DataFrame, a_eq_px: float, n_bins: int = N_BINS):
+def dx_profile(tracks: DataFrame, by: list[str], dt: Column, planet: str, a_eq_px: float, n_bins: int = N_BINS):
     """Shift to apply per |lat| bin and frame: clipped weighted mean, model where empty, smoothed, bounded.
 
     The bound on a bin uses its left neighbour after that one was bounded, so the last step folds over the bins of a
     frame, a fixed-length array.
     """
-    p = F.broadcast(planet)
     k = [*by, "bin"]
     frames = tracks.select(*by).distinct().withColumn("_dt", dt)
     good = cut(tracks.where(F.col("dx").isNotNull() & ~F.isnan("dx") & (F.col("snr") > 0.05)).select(
@@ -180,7 +178,7 @@ def dx_profile(tracks: DataFrame, by: list[str], dt: Column, planet: DataFrame,
     w = F.when(F.abs(F.col("dx") - F.col("_med")) < 3.0 * 1.4826 * (F.col("_mad") + 1e-9), F.col("snr"))
     meas = r.groupBy(*k).agg(
         (-F.coalesce(F.sum(w * F.col("dx")) / (F.sum(w)), F.max("_med"))).alias("_dx"))
-    whole = bin_skeleton(frames, n_bins).join(meas, k, "left").crossJoin(p).withColumn("u", PL.wind_at("abs_lat"))
+    whole = PL.with_constants(bin_skeleton(frames, n_bins).join(meas, k, "left"), planet).withColumn("u", PL.wind_at("abs_lat"))
     drift = PL.drift_px("abs_lat", "_dt", a_eq_px, "u")
     per = Window.partitionBy(*by)  # a frame has n_bins rows here
     near, order = per.orderBy("bin").rangeBetween(-1, 1), per.orderBy("bin")

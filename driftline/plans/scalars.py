@@ -226,8 +226,8 @@ PAR_SQL = f"(cos(radians(ap_lat))/sqrt(cos(radians(ap_lat))^2+(sin(radians(ap_la
 
 
 def with_planet(t, df, name="Jupiter"):
-    """Planet constants as literals next to each row: one row of a five-row dimension."""
-    return df.crossJoin(F.broadcast(PL.planets(t.spark).where(c("planet") == name)))
+    """Planet constants as literals next to each row."""
+    return PL.with_constants(df, name)
 
 
 @query("f14_zonal_wind", f"SELECT track_ord, ap_id, ap_lat, {R(WIND, 'u')} FROM d_tracks")

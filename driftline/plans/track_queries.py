@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions import planets as PL
 from driftline.functions.angles import FLATTENING
 from driftline.operators import skew
 from driftline.operators import tracks as TR
@@ -20,10 +19,6 @@ BIN = "least(floor(abs(ap_lat)/(90.0e0/11)),10)::INTEGER"
 A_EQ = 120.0
 
 
-def jupiter(t):
-    return PL.planets(t.spark).where("planet = 'Jupiter'")
-
-
 @query(
     "p03_track_gate",
     f"""SELECT track_ord, ap_id, ap_lat, dt_s, coalesce(pow((ap_id%100-50)/(60.0e0+1e-12),2)+pow((50-track_ord%100)/(60.0e0*{1 - FLATTENING}e0+1e-12),2)<=0.93
@@ -84,7 +79,7 @@ _WB = _wind_sql()
 
 
 def wind(t):
-    return TR.wind_bins(t.tracks, CAP, jupiter(t), A_EQ)
+    return TR.wind_bins(t.tracks, CAP, "Jupiter", A_EQ)
 
 
 @query(
@@ -111,7 +106,7 @@ SELECT capture_id, n_bins, {R('u0', 'u0_mps', 3)}, {R('us', 'u0_std', 3)}, {R('u
  {R('-35729.711e0*d0/(360.0e0/35729.711e0*86400)', 'period_correction_s', 3)}, {R('radians(d0)/86400*71492000.0e0', 'equator_u', 3)}, CASE WHEN dr<ur THEN 'angular' ELSE 'uniform_mps' END AS preferred FROM x""",
 )
 def _(t):
-    o = TR.offsets(wind(t), CAP, jupiter(t))
+    o = TR.offsets(wind(t), CAP, "Jupiter")
     r = lambda x, n: F.round(x, n).alias(x)
     return o.select(
         "capture_id", "n_bins", "preferred", r("u0_mps", 3), r("u0_std", 3), r("u0_rchi2", 6), r("d_omega", 4),
@@ -164,7 +159,7 @@ c4 AS (SELECT capture_id, frame_idx, bin, filled, s, lim, mm, sr, least(greatest
 
 
 def profile(t):
-    return TR.dx_profile(t.tracks, FRAME, c("frame_idx") * 15.0 + 15.0, jupiter(t), A_EQ)
+    return TR.dx_profile(t.tracks, FRAME, c("frame_idx") * 15.0 + 15.0, "Jupiter", A_EQ)
 
 
 @query(
