@@ -117,3 +117,16 @@ def test_geometric_median_and_border_surface(spark):
         X = np.column_stack([np.ones(b.sum()), xx[b], yy[b], xx[b] ** 2, xx[b] * yy[b], yy[b] ** 2])
         fit = X @ r[["a", "b", "c", "d", "e", "f"]].to_numpy(float)
         assert np.allclose(fit, X @ np.linalg.lstsq(X, im[b], rcond=None)[0], atol=1e-8)
+
+
+def test_iterated_centres_find_the_dense_group(spark):
+    from driftline.operators import images as IM
+
+    data = [1.0] * 64
+    for i in (9, 10, 17, 18, 25, 63):  # a dark block around (x 1.5, y 2) and one far pixel
+        data[i] = 0.1
+    df = spark.createDataFrame([(1, 1, data)], "capture_id int, frame_idx int, data array<double>")
+    r = IM.iterated_centres(df, 8, ["capture_id", "frame_idx"], perc=5.0).first()
+    assert r.n == 6 and abs(r.gx - 1.4) < 0.6 and abs(r.gy - 2.0) < 0.6  # the geometric median resists the far pixel
+    assert r.mx < 2.0 and r.my < 3.0  # the mode sits in the block
+    assert min(r.k0, r.k1) < 2.5
