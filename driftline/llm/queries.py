@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, secrets, winnowing
+from . import chunks, decontamination, html_text, language, near_duplicates, personal_data, pieces, secret_scan, urls, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,7 +53,7 @@ def op3(spark, sf_dir):
 
 @query("op4_secrets")
 def op4(spark, sf_dir):
-    return secrets.secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
 @query("op9_fingerprints")
@@ -79,3 +79,33 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
 @query("op7_near_duplicates", OP7_SQL)
 def op7(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("class", "key")
+
+
+@query("op8_substring_dedup")
+def op8(spark, sf_dir):
+    return chunks.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op1_personal_data")
+def op1(spark, sf_dir):
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language")
+def op2(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op5_url_filter")
+def op5(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op6_main_text")
+def op6(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_sentencepiece")
+def op10(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
