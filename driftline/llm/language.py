@@ -24,7 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, VOCABULARY, GRAMS, LONGEST = 500, 40_000, 60_000, 4
+from ..operators.skew import cut
+
+SAMPLE_DOCS, VOCABULARY, GRAMS, LONGEST = 300, 40_000, 60_000, 4
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Weight of a backed-off word against a known one, and prior counts.
@@ -73,7 +75,7 @@ def count_features(docs: DataFrame, vocabulary: int, grams: int) -> list[tuple[s
             yield pd.DataFrame([(*k, c) for k, c in counts.items()], columns=["lang", "len", "feature", "n"])
 
     rows = docs.where("text IS NOT NULL").select("lang", "text").mapInPandas(run, "lang string, len int, feature string, n long")
-    total = rows.groupBy("lang", "len", "feature").agg(F.sum("n").alias("n"))
+    total = cut(rows.groupBy("lang", "len", "feature").agg(F.sum("n").alias("n")))
     order = [F.desc("n"), "feature", "lang", "len"]
     best = total.where("len = 0").orderBy(*order).limit(vocabulary).unionByName(total.where("len > 0").orderBy(*order).limit(grams))
     return [tuple(r) for r in best.collect()]
@@ -85,7 +87,7 @@ class Model:
     def __init__(self, features: list[tuple[str, int, str, int]], langs: list[str]):
         self.langs = langs
         place = {x: i for i, x in enumerate(langs)}
-        self.levels: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        self.levels: list[dict[str, list[float]]] = [{} for _ in range(LONGEST + 1)]
         totals = np.full((LONGEST + 1, len(langs)), 1.0)
         raw: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
         for lang, n, feature, count in features:
@@ -96,18 +98,42 @@ class Model:
             floor = PRIOR * totals[n] / totals[n].max()
             for feature, counts in table.items():
                 v = np.log((counts + floor) / totals[n])
-                self.levels[n][feature] = v - np.logaddexp.reduce(v)
+                self.levels[n][feature] = (v - np.logaddexp.reduce(v)).tolist()
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> list[float]:
         known = self.levels[0].get(w)
         if known is not None:
             return known
         for n in range(LONGEST, 0, -1):
-            found = [self.levels[n][g] for g in grams_of(w[:64], n) if g in self.levels[n]]
+            table = self.levels[n]
+            found = [v for g in grams_of(w[:64], n) if (v := table.get(g)) is not None]
             if found:
-                v = BACKOFF * np.mean(found, axis=0) * min(len(found), 4)
-                return v - np.logaddexp.reduce(v)
-        return np.full(len(self.langs), -math.log(len(self.langs)))
+                weight = BACKOFF * min(len(found), 4) / len(found)
+                return [weight * sum(column) for column in zip(*found)]
+        return [0.0] * len(self.langs)
+
+
+class Scores(dict):
+    """Row numbers of words in a matrix of scores; emptied when full."""
+
+    def __init__(self, model: Model, size: int = 200_000):
+        super().__init__()
+        self.model, self.rows = model, np.zeros((size, len(model.langs)), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        k = len(self)
+        self.rows[k] = self.model.word(word)
+        self[word] = k
+        return k
+
+    def total(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(self.rows.shape[1])
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            if len(self) + len(part) > len(self.rows):
+                self.clear()
+            out += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=float)
+        return out
 
 
 def learn(docs: DataFrame, per_lang: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY, grams: int = GRAMS) -> Model | None:
@@ -122,7 +148,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        cache: dict[str, np.ndarray] = {}
+        scores = Scores(m) if m is not None else None
         for texts in batches:
             out = []
             for text in texts:
@@ -130,16 +156,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if m is None or not any(c.isalpha() for w in words for c in w):
                     out.append((UNKNOWN, 0.0))
                     continue
-                counts = Counter(words)
-                rows = []
-                for w in counts:
-                    v = cache.get(w)
-                    if v is None:
-                        if len(cache) > 300_000:
-                            cache.clear()
-                        v = cache[w] = m.word(w)
-                    rows.append(v)
-                total = np.fromiter(counts.values(), float, len(counts)) @ np.array(rows)
+                total = scores.total(words)
                 best = int(total.argmax())
                 out.append((m.langs[best], float(np.exp(total[best] - np.logaddexp.reduce(total)))))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])

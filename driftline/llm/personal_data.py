@@ -48,10 +48,24 @@ NAME = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 DOT_NAME, AT_NAME, PLUS_NAME = "(?:dot|punkt|point|punto)", "(?:at|arroba|arobase)", "(?:plus|más)"
 OPEN, CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 
-MARK = re.compile(
-    rf"[^\x00-\xff]|[\xa0\xad\xb7]|&#|&commat;|&period;|(?<=\s)@|@(?=\s)|(?<![^\W_]){DOT_NAME}(?![^\W_])|{OPEN}(?:{AT_NAME}|[@.]){CLOSE}"
-    rf"|(?<![^\W_]){NAME}[\s,.-]{{1,3}}{NAME}[\s,.-]{{1,3}}{NAME}(?![^\W_])", re.IGNORECASE,
-)
+OUTSIDE = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\xb6\xb8-\xff]")
+SIGNS = re.compile(rf"&#|&(?:commat|period);|\s@|@\s|{OPEN}(?:{AT_NAME}|{DOT_NAME}|[@.]){CLOSE}", re.IGNORECASE)
+DOT_WORDS = tuple(DOT_NAME[3:-1].split("|"))
+DOT_WORD = re.compile(rf"(?<![^\W_]){DOT_NAME}(?![^\W_])")
+THREE = re.compile(rf"(?<![^\W_]){NAME}[\s,.-]{{1,3}}{NAME}[\s,.-]{{1,3}}{NAME}(?![^\W_])")
+
+
+def marked(text: str) -> bool:
+    """Whether the text has any mark of a disguise."""
+    if OUTSIDE.search(text) or SIGNS.search(text):
+        return True
+    low = text.lower()
+    if any(w in low for w in DOT_WORDS) and DOT_WORD.search(low):
+        return True
+    words = low.replace(",", " ").replace(".", " ").replace("-", " ").split()
+    return not DIGITS.keys().isdisjoint(words) and THREE.search(low) is not None
+
+
 DOTS = re.compile(
     rf"\s{{0,3}}{OPEN}(?:{DOT_NAME}|\.){CLOSE}\s{{0,3}}|(?<=\w)\s{{1,3}}{DOT_NAME}\s{{1,3}}(?=\w)|(?<=\w)[_-]{DOT_NAME}[_-](?=\w)|&#46;|&#x2e;|&period;"
     r"|(?<=\w)\s\.\s?(?=[a-z0-9])", re.IGNORECASE,
@@ -196,7 +210,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 base = find(text)
                 more = []
-                if MARK.search(text):
+                if marked(text):
                     covered = {k: [(a, b) for a, b, kind in base if kind == k] for k in KINDS}
                     more = [s for s in disguised(text) if not any(a <= s[0] and s[1] <= b for a, b in covered[s[2]])]
                 counts = [sum(s[2] == k for s in base) for k in KINDS]

@@ -5,11 +5,12 @@ spells, its bytes. A forward Viterbi pass gives every node the best score from t
 these scores as exact estimates of what is left, so it takes paths off its agenda in order of their full score.
 
 No piece reaches over a space mark that isn't at its front, so the lattice falls into units, and a text's segmentations are
-combinations of its units'. The forward pass, which also keeps the second-best score, runs once for each distinct unit; the search
+combinations of its units'. The forward pass, which also keeps the second-best score, runs once for each distinct part of a unit; the search
 runs only for the few units whose second choice costs least, which are all that n-best texts can need.
 
 The vocabulary file is read where the driver runs and its path is a parameter. Nothing is normalised and no mark is put in front, so
-decoding returns the text exactly. A literal space mark is spelled in bytes. Equal scores are ordered by ids.
+decoding returns the text exactly. A literal space mark is spelled in bytes. Of equal scores, the forward pass keeps the one whose last piece
+is longest, and the search orders them by ids.
 
 Defined cases: a null text has null ids; an empty one has no ids, score 0 and one segmentation; repeated rows are treated alike.
 """
@@ -32,7 +33,7 @@ BEST = 3
 SPACE, LITERAL = "▁", "\udc81"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-CACHE = 300_000
+CACHE = 500_000
 
 
 class Vocabulary:
@@ -42,54 +43,71 @@ class Vocabulary:
         self.bytes = {int(m.group(1), 16): i for i, (p, _) in enumerate(pieces) if (m := BYTE.fullmatch(p))}
         special = {"<unk>", "<s>", "</s>", ""}
         self.ids = {p: (i, s) for i, (p, s) in enumerate(pieces) if p not in special and not BYTE.fullmatch(p)}
-        self.longest = max(map(len, self.ids))
+        #: every beginning of a piece, with the piece's id and score where it is one
+        self.begin = {p[:k]: None for p in self.ids for k in range(1, len(p) + 1)} | self.ids
+        #: pairs of neighbours inside pieces; between other characters the lattice always has a border
+        self.joints = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.byte_score = min((s for _, s in self.ids.values() if s > -1e8), default=0.0) - 10.0
         spelled = {i: bytes([b]) for b, i in self.bytes.items()}
         self.spelled = [spelled.get(i, p.replace(SPACE, " ").encode() if p not in special else b"") for i, (p, _) in enumerate(pieces)]
 
+    def spell(self, char: str) -> tuple[tuple[int, ...], float]:
+        raw = (SPACE if char == LITERAL else char).encode("utf-8", "replace")
+        return tuple(self.bytes[b] for b in raw), self.byte_score * len(raw)
+
     def edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each border, the edges that end there: start, ids, score."""
-        n, ids, out = len(unit), self.ids, [[] for _ in range(len(unit) + 1)]
+        n, begin, out = len(unit), self.begin, [[] for _ in range(len(unit) + 1)]
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                got = ids.get(unit[i:j])
-                if got is not None:
+            for j in range(i + 1, n + 1):
+                got = begin.get(unit[i:j], False)
+                if got:
                     out[j].append((i, (got[0],), got[1]))
                 elif j == i + 1:
-                    raw = (SPACE if unit[i] == LITERAL else unit[i]).encode("utf-8", "replace")
-                    out[j].append((i, tuple(self.bytes[b] for b in raw), self.byte_score * len(raw)))
+                    out[j].append((i, *self.spell(unit[i])))
+                if got is False:
+                    break
         return out
 
 
 def best_two(unit: str, v: Vocabulary) -> tuple[tuple[int, ...], float, float]:
     """Ids and score of the best segmentation, and by how much the second one is worse (infinite: there is none)."""
-    n, longest, ids = len(unit), v.longest, v.ids
+    n, begin = len(unit), v.begin
     low = float("-inf")
     first, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
     first[0] = 0.0
     for i in range(n):
-        f, s = first[i], second[i]
-        for j in range(i + 1, min(n, i + longest) + 1):
-            got = ids.get(unit[i:j])
-            if got is not None:
-                edge, score = (got[0],), got[1]
+        f, s, j = first[i], second[i], i
+        while j < n:
+            j += 1
+            got = begin.get(unit[i:j], False)
+            if got:
+                edge, score = got
             elif j == i + 1:
-                raw = (SPACE if unit[i] == LITERAL else unit[i]).encode("utf-8", "replace")
-                edge, score = tuple(v.bytes[b] for b in raw), v.byte_score * len(raw)
-            else:
+                edge, score = v.spell(unit[i])
+            elif got is None:
                 continue
+            else:
+                break
             x = f + score
             if x > first[j]:
-                second[j] = max(first[j], s + score)
+                y = s + score
+                second[j] = first[j] if first[j] > y else y
                 first[j], back[j] = x, (i, edge)
-            else:
-                second[j] = max(second[j], x)
+            elif x > second[j]:
+                second[j] = x
+            if got is False:
+                break
     path, j = [], n
     while j:
         i, edge = back[j]
-        path.append(edge)
+        if edge.__class__ is int:
+            path.append(edge)
+        else:
+            path += reversed(edge)
         j = i
-    return tuple(k for e in reversed(path) for k in e), first[n], first[n] - second[n]
+    path.reverse()
+    return tuple(path), first[n], first[n] - second[n]
 
 
 def n_best(unit: str, v: Vocabulary, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -110,30 +128,52 @@ def n_best(unit: str, v: Vocabulary, n: int) -> list[tuple[float, tuple[int, ...
 
 
 def units_of(text: str) -> list[str]:
-    return UNIT.findall(text.replace(SPACE, LITERAL).replace(" ", SPACE))
+    if SPACE in text:
+        text = text.replace(SPACE, LITERAL)
+    if "  " in text:
+        return UNIT.findall(text.replace(" ", SPACE))
+    first, *rest = text.split(" ")
+    units = [SPACE + w for w in rest]
+    return [first, *units] if first else units
 
 
 class Encoder:
     def __init__(self, v: Vocabulary, best: int = BEST):
         self.v, self.best = v, best
         self.seen: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.parts: dict[str, tuple[tuple[int, ...], float, float]] = {}
         self.more: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
-    def unit(self, u: str) -> tuple[tuple[int, ...], float, float]:
-        got = self.seen.get(u)
+    def part(self, p: str) -> tuple[tuple[int, ...], float, float]:
+        got = self.parts.get(p)
         if got is None:
-            got = best_two(u, self.v)
-            if len(u) <= 64:
-                if len(self.seen) >= CACHE:
-                    self.seen.clear()
-                self.seen[u] = got
+            got = best_two(p, self.v)
+            if len(p) <= 64:
+                if len(self.parts) >= CACHE:
+                    self.parts.clear()
+                self.parts[p] = got
+        return got
+
+    def unit(self, u: str) -> tuple[tuple[int, ...], float, float]:
+        """The unit's parts between sure borders, put together."""
+        joints = self.v.joints
+        cuts = [k for k in range(1, len(u)) if u[k - 1 : k + 1] not in joints]
+        if not cuts:
+            return self.part(u)
+        found = [self.part(u[a:b]) for a, b in zip([0, *cuts], [*cuts, len(u)])]
+        got = (tuple([i for f in found for i in f[0]]), sum(f[1] for f in found), min(f[2] for f in found))
+        if len(u) <= 64:
+            if len(self.seen) >= CACHE:
+                self.seen.clear()
+            self.seen[u] = got
         return got
 
     def encode(self, text: str) -> tuple[list[int], float, list[float]]:
         """ids, score, and the scores of the n best segmentations."""
         units = units_of(text)
         counts = Counter(units)
-        known = {u: self.unit(u) for u in counts}
+        seen, parts = self.seen, self.parts
+        known = {u: seen.get(u) or parts.get(u) or self.unit(u) for u in counts}
         ids = [k for u in units for k in known[u][0]]
         score = sum(known[u][1] * c for u, c in counts.items())
         return ids, score, [score - d for d in self.losses(counts, known)]
