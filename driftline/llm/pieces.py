@@ -33,7 +33,8 @@ BEST = 3
 SPACE, LITERAL = "▁", "\udc81"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-CACHE = 500_000
+#: Parts and whole units that a worker remembers.
+PARTS, UNITS = 300_000, 100_000
 
 
 class Vocabulary:
@@ -149,7 +150,7 @@ class Encoder:
         if got is None:
             got = best_two(p, self.v)
             if len(p) <= 64:
-                if len(self.parts) >= CACHE:
+                if len(self.parts) >= PARTS:
                     self.parts.clear()
                 self.parts[p] = got
         return got
@@ -163,7 +164,7 @@ class Encoder:
         found = [self.part(u[a:b]) for a, b in zip([0, *cuts], [*cuts, len(u)])]
         got = (tuple([i for f in found for i in f[0]]), sum(f[1] for f in found), min(f[2] for f in found))
         if len(u) <= 64:
-            if len(self.seen) >= CACHE:
+            if len(self.seen) >= UNITS:
                 self.seen.clear()
             self.seen[u] = got
         return got
@@ -193,7 +194,7 @@ class Encoder:
     def alternatives(self, u: str) -> list[tuple[float, tuple[int, ...]]]:
         got = self.more.get(u)
         if got is None:
-            if len(self.more) >= CACHE // 10:
+            if len(self.more) >= UNITS // 4:
                 self.more.clear()
             got = self.more[u] = n_best(u, self.v, self.best)
         return got
