@@ -2,7 +2,7 @@
 
 A tolerant parser cuts a page into blocks and gives each a role: `main` inside article or main elements, `noise` inside menus, headers,
 footers, asides, notices, adverts, forms, comments and the like, and `open` elsewhere. Pages with a main element give their main
-blocks. On other pages the markup doesn't decide, and there the token streams of a host's pages are searched together: the suffixes
+blocks (their open ones, if it holds none). On other pages the markup doesn't decide, and there the token streams of a host's pages are searched together: the suffixes
 of all streams that share their first `RUN` tokens form one interval of the host's suffix array, and an interval that reaches over
 distinct pages is a repeated substring. Spark groups the suffixes by those tokens instead of sorting one array in one task. Blocks
 that such substrings cover are boilerplate and go; unique runs stay. Blocks of fewer than `RUN` tokens stand for one suffix each.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .urls import host_path
 
 RUN = 8
+#: Pages with such an element take the markup's word and skip the search.
+MAIN_TAG = r"(?i)<(article|main)[\s>/]"
 
 # Elements by their part in a page.
 BLOCK_TAGS = frozenset(
@@ -148,19 +150,18 @@ def blocks_of(html: str | None) -> list[tuple[str, str]]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, decided (the markup names the main part), blocks."""
+    """page_id, url, host, blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [blocks_of(h) for h in b["html"]]
             yield pd.DataFrame({
-                "page_id": b["page_id"], "url": b["url"], "host": b["host"], "decided": [not f or f[0][0] == "main" for f in found],
-                "blocks": [[t for _, t in f] for f in found],
+                "page_id": b["page_id"], "url": b["url"], "host": b["host"], "blocks": [[t for _, t in f] for f in found],
             })
 
     host, _ = host_path(F.col("url"))
     return pages.select("page_id", "url", host.alias("host"), "html").mapInPandas(
-        run, "page_id long, url string, host string, decided boolean, blocks array<string>"
+        run, "page_id long, url string, host string, blocks array<string>"
     )
 
 
@@ -198,10 +199,12 @@ def boilerplate(pages: DataFrame, run_length: int = RUN) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    made = parsed(pages.select("page_id", "url", "html"))
-    undecided = made.where("NOT decided AND page_id IS NOT NULL").select("page_id", "host", "blocks").distinct()
+    pages = pages.select("page_id", "url", "html")
+    named = F.coalesce("html", F.lit("")).rlike(MAIN_TAG)
+    decided, rest = parsed(pages.where(named)).select("page_id", "url", "blocks"), parsed(pages.where(~named))
+    undecided = rest.where("page_id IS NOT NULL").select("page_id", "host", "blocks").distinct()
     gone = boilerplate(undecided).groupBy("page_id").agg(F.collect_set("block").alias("gone"))
-    decided, rest = made.where("decided").select("page_id", "url", "blocks"), made.where("NOT decided").join(gone, "page_id", "left")
+    rest = rest.join(gone, "page_id", "left")
     left = F.filter("blocks", lambda b, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
     rest = rest.select("page_id", "url", F.when(F.size(left) > 0, left).otherwise(F.col("blocks")).alias("blocks"))
     text = F.array_join("blocks", "\n")
