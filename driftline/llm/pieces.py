@@ -10,7 +10,7 @@ runs only for the few units whose second choice costs least, which are all that
 
 The vocabulary file is read where the driver runs and its path is a parameter. Nothing is normalised and no mark is put in front, so
 decoding returns the text exactly. A literal space mark is spelled in bytes. Of equal scores, the forward pass keeps the one whose last piece
-is longest, and the search orders them by ids.
+is longest, and the search those that reach the start first.
 
 Defined cases: a null text has null ids; an empty one has no ids, score 0 and one segmentation; repeated rows are treated alike.
 """
@@ -117,14 +117,20 @@ def n_best(unit: str, v: Vocabulary, n: int) -> list[tuple[float, tuple[int, ...
     best = [0.0] + [float("-inf")] * len(unit)
     for j in range(1, len(unit) + 1):
         best[j] = max(best[i] + s for i, _, s in edges[j])
-    agenda, out = [(-best[-1], (), len(unit), 0.0)], []
+    # of equal costs, the path that has come furthest goes first; paths are linked, so that long ones share what they have
+    agenda, out, made = [(-best[-1], len(unit), 0, 0.0, None)], [], 0
     while agenda and len(out) < n:
-        cost, ids, j, behind = heapq.heappop(agenda)
+        cost, j, _, behind, path = heapq.heappop(agenda)
         if j == 0:
-            out.append((-cost, ids))
+            ids: list[int] = []
+            while path is not None:
+                edge, path = path
+                ids += edge
+            out.append((-cost, tuple(ids)))
             continue
         for i, edge, s in edges[j]:
-            heapq.heappush(agenda, (-(best[i] + s + behind), edge + ids, i, behind + s))
+            made += 1
+            heapq.heappush(agenda, (-(best[i] + s + behind), i, made, behind + s, (edge, path)))
     return out
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, running_totals
+from .urls import ORDINARY_WORDS
 
 # The patterns of the three base kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,6 +30,8 @@ SAMPLE_DOCS = 2000
 SAMPLE_STRINGS = 6000
 #: Least total and mean log-likelihood ratio (natural logarithm) of a secret.
 MIN_TOTAL, MIN_MEAN = 12.0, 0.4
+#: Weight of the single characters in each row of a model, in counts.
+BACKOFF = 20.0
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -84,7 +87,8 @@ def identifiers(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     words = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(
         F.filter(F.split("text", "[^A-Za-z]+"), lambda w: (F.length(w) >= 3) & (F.length(w) <= 24)).alias("w")
     )
-    joined = words.select(F.explode("w").alias("a"), (F.xxhash64("a") % 1000).alias("h"), F.element_at("w", 1).alias("b"))
+    fixed = docs.sparkSession.createDataFrame([(ORDINARY_WORDS,)], "w array<string>")
+    joined = words.unionByName(fixed).select(F.explode("w").alias("a"), (F.xxhash64("a") % 1000).alias("h"), F.element_at("w", 1).alias("b"))
     forms = F.array(
         F.col("a"), F.concat_ws("_", "a", "b"), F.concat_ws("-", F.lower("a"), F.lower("b")), F.concat(F.lower("a"), F.initcap("b")),
         F.concat_ws("_", F.upper("a"), F.upper("b")), F.concat("a", F.abs("h").cast("string")), F.concat_ws("/", "a", "b", F.lit("index")),
@@ -101,11 +105,15 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
         "label", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substr("token", i, F.lit(2)))).alias("pair")
     )
     counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
+    single = [{b: sum(counts.get((label, a + b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET} for label in (0, 1)]
     model = []
     for a in ALPHABET:
-        rows = [[counts.get((label, a + b), 0) + 0.5 for b in ALPHABET] for label in (0, 1)]
-        sums = [sum(r) for r in rows]
-        model += [math.log(rows[1][k] / sums[1]) - math.log(rows[0][k] / sums[0]) for k in range(SIDE)]
+        logs = []
+        for label in (0, 1):
+            row, mass = [counts.get((label, a + b), 0) for b in ALPHABET], sum(single[label].values())
+            # rare characters fall back on how often the next one occurs at all
+            logs.append([math.log((row[k] + BACKOFF * single[label][b] / mass) / (sum(row) + BACKOFF)) for k, b in enumerate(ALPHABET)])
+        model += [one - zero for zero, one in zip(*logs)]
     return model
 
 
