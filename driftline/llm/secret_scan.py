@@ -85,7 +85,7 @@ def identifiers(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled samples of the ordinary class: words, alone and joined as identifiers are, of about `sample` documents."""
     every = max(1, docs.count() // sample)
     words = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(
-        F.filter(F.split("text", "[^A-Za-z]+"), lambda w: (F.length(w) >= 3) & (F.length(w) <= 24)).alias("w")
+        F.filter(F.split("text", "[^A-Za-z0-9+/_=-]+"), lambda w: w.rlike("^[A-Za-z]{3,24}$")).alias("w")
     )
     fixed = docs.sparkSession.createDataFrame([(ORDINARY_WORDS,)], "w array<string>")
     joined = words.unionByName(fixed).select(F.explode("w").alias("a"), (F.xxhash64("a") % 1000).alias("h"), F.element_at("w", 1).alias("b"))
