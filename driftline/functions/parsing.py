@@ -87,11 +87,12 @@ NAME_TIME_PATTERNS = [
 
 
 def instant_from_name_us(name) -> Column:
-    """The first pattern that matches and names a real instant wins; missing seconds are zero."""
+    """The first pattern that matches the base name and names a real instant wins; missing seconds are zero."""
+    base = F.regexp_replace(as_col(name), r"^.*[/\\]", "")
     tries = []
     for pattern in NAME_TIME_PATTERNS:
         groups = pattern.count("(")
-        part = [F.regexp_extract(as_col(name), pattern, i) for i in range(1, min(groups, 6) + 1)]
+        part = [F.regexp_extract(base, pattern, i) for i in range(1, min(groups, 6) + 1)]
         sec = F.when(part[5] != "", part[5]).otherwise(F.lit("00")) if len(part) == 6 else F.lit("00")
         tries.append(F.unix_micros(F.try_to_timestamp(F.concat(*part[:5], sec), F.lit("yyyyMMddHHmmss"))))
     return F.coalesce(*tries)

@@ -19,7 +19,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names; used between rounds of an iteration."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):

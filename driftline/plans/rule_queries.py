@@ -277,10 +277,10 @@ def _(t):
 _INJ = f"tr AS (SELECT series_id, ord, {D('lon', '(series_id*7)')} AS dlon, lat+19.8e0 AS dlat FROM d_steady)"
 
 
-@query("p08_injection_trials", f"WITH {_INJ} SELECT series_id, ord FROM tr WHERE abs(dlon)<=10 AND abs(dlat)<=3")
+@query("p08_injection_trials", f"WITH {_INJ} SELECT series_id, ord FROM tr WHERE abs(dlon)<=10 AND abs(dlat)<=6")
 def _(t):
     d = t.steady.withColumn("dlon", A.wrap_diff("lon", c("series_id") * 7))
-    return d.where((F.abs("dlon") <= 10) & (F.abs(c("lat") + 19.8) <= 3)).select("series_id", "ord")
+    return d.where((F.abs("dlon") <= 10) & (F.abs(c("lat") + 19.8) <= 6)).select("series_id", "ord")
 
 
 @query(

@@ -296,23 +296,6 @@ def _(t):
     return df.where("kept").select("machine", "ord", "action")
 
 
-@query(
-    "w16_even_subsample",
-    """WITH k AS (SELECT capture_id, frame_idx, row_number() OVER (PARTITION BY capture_id ORDER BY frame_idx)-1 AS i, count(*) OVER (PARTITION BY capture_id) AS n FROM d_frames),
-g AS (SELECT DISTINCT capture_id, CASE WHEN n<=20 THEN j ELSE floor(j*(n-1)/19.0e0)::BIGINT END AS i FROM k, (SELECT unnest(range(20)) AS j) WHERE j<n)
-SELECT k.capture_id, k.frame_idx FROM k JOIN g USING (capture_id, i)""",
-)
-def _(t):
-    m = 20
-    ranks = {
-        f"r{j}": F.when(c("n") <= m, F.when(F.lit(j) < c("n"), F.lit(j))).otherwise(F.floor(F.lit(float(j)) * (c("n") - 1) / (m - 1.0)))
-        for j in range(m)
-    }
-    s = skew.order_statistics(t.frames, ["capture_id"], "frame_idx", ranks)
-    picked = s.select("capture_id", F.explode(F.array_compact(F.array_distinct(F.array(*[c(k) for k in ranks])))).alias("f"))
-    return picked.select("capture_id", c("f").cast("bigint").alias("frame_idx"))
-
-
 @query(
     "w17_frame_offsets",
     """WITH f AS (SELECT capture_id, frame_idx, CASE WHEN capture_id%3=0 OR frame_idx%5<>0 THEN frame_idx*250000+7 END AS stamp, CASE WHEN capture_id%3=1 THEN 0.25e0 END AS cad FROM d_frames),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import skew
+
 from driftline.functions.angles import finite, wrap_deg
 from driftline.functions.parsing import decimal, parse_instant_us, parse_table_instant_us
 
@@ -145,12 +147,14 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sampled_frames(frames: DataFrame, step: int, limit: int, factor: int, width: int) -> DataFrame:
-    """Every `step`-th frame up to the first `limit` of a capture, pixels averaged over factor x factor blocks.
+    """Every `step`-th frame, the first `limit` of them in each capture, pixels averaged over factor x factor blocks.
 
-    Frame numbers start at 0, so the limit is a bound on the number, not a sort. Averages stay inside the frame row.
+    The limit counts frames that are given out. Averages stay inside the frame row, whose height follows from its length.
     """
-    w, h = width // factor, width // factor
-    f = frames.where((c("frame_idx") % step == 0) & (c("frame_idx") < step * limit))
+    w = width // factor
+    taken = frames.where(c("frame_idx") % step == 0).withColumn("_back", -c("frame_idx"))
+    f = skew.keep_largest(taken, ["capture_id"], "_back", "frame_idx", F.least(F.lit(limit), c("n"))).where("kept").select(frames.columns)
+    h = F.floor(F.floor(F.size("data") / width) / factor).cast("int")
     offs = [(dy, dx) for dy in range(factor) for dx in range(factor)]
 
     def block(k):
@@ -158,4 +162,4 @@ def sampled_frames(frames: DataFrame, step: int, limit: int, factor: int, width:
         s = sum((F.get(c("data"), (y + dy) * width + x + dx) for dy, dx in offs), F.lit(0.0))
         return s / float(factor * factor)
 
-    return f.withColumn("data", F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), block))
+    return f.withColumn("data", F.transform(F.sequence(F.lit(0), h * w - 1), block))

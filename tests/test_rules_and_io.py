@@ -130,3 +130,21 @@ def test_iterated_centres_find_the_dense_group(spark):
     assert r.n == 6 and abs(r.gx - 1.4) < 0.6 and abs(r.gy - 2.0) < 0.6  # the geometric median resists the far pixel
     assert r.mx < 2.0 and r.my < 3.0  # the mode sits in the block
     assert min(r.k0, r.k1) < 2.5
+
+
+def test_time_comes_from_the_base_name(spark):
+    from pyspark.sql import functions as F
+
+    from driftline.functions import parsing
+
+    row = spark.createDataFrame([("/data/2026-01-09-1540/run_20260110T010203.ser",)], "n string").select(parsing.instant_from_name_us("n").alias("t"))
+    assert row.select(F.timestamp_micros("t").cast("string")).first()[0] == "2026-01-10 01:02:03"
+
+
+def test_limit_counts_the_frames_given_out(spark):
+    from driftline.sources import readers
+
+    rows = [(1, 300 + i, [1.0, 3.0, 5.0, 7.0] * 2) for i in range(20)]
+    frames = spark.createDataFrame(rows, "capture_id long, frame_idx long, data array<double>")
+    got = readers.sampled_frames(frames, 3, 4, 2, 2).orderBy("frame_idx").collect()
+    assert [r["frame_idx"] for r in got] == [300, 303, 306, 309] and list(got[0]["data"]) == [4.0, 4.0]
