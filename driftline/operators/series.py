@@ -256,7 +256,7 @@ def periodogram(df: DataFrame, by: list[str], t_days: Column, y: str, periods: l
 def crossings(df: DataFrame, by: list[str], rel: str, min_gap_us: int = 3_600_000_000) -> DataFrame:
     """Downward zero crossings of a relative angle at the meridian, linear in its sine, at least a gap apart.
 
-    The gap is measured to the previous crossing; real crossings are hours apart, so chains do not arise.
+    The gap is measured to the last crossing that was kept.
     """
     r = timeline(df, by).neighbour({"_pt": "t_us", "_prel": rel}).df
     s0, s1 = F.sin(F.radians("_prel")), F.sin(F.radians(F.col(rel)))
@@ -267,8 +267,27 @@ def crossings(df: DataFrame, by: list[str], rel: str, min_gap_us: int = 3_600_00
 
 
 def spaced(events: DataFrame, by: list[str], min_gap_us: int) -> DataFrame:
+    """The first event of each key and then each event more than a gap after the last one kept.
+
+    An event more than a gap after the one before it is kept whatever came earlier, so the events of a key fall into
+    runs that don't depend on each other; only a run passes through one task, in order and without being held.
+    """
     r = timeline(events, by).neighbour({"_p": "t_us"}).df
-    return r.where(F.col("_p").isNull() | (F.col("t_us") - F.col("_p") > min_gap_us)).drop("_p")
+    r = r.withColumn("_start", (F.col("_p").isNull() | (F.col("t_us") - F.col("_p") > min_gap_us)).cast("int")).drop("_p")
+    r = timeline(r, by).running_sum({"_run": "_start"}).df.drop("_start")
+    run = [*by, "_run"]
+
+    def keep(frames):
+        key, last = None, 0
+        for f in frames:
+            kept = []
+            for k, t in zip(f[run].astype(object).where(f[run].notna(), None).itertuples(index=False, name=None), f["t_us"]):
+                kept.append(k != key or t - last > min_gap_us)
+                if kept[-1]:
+                    key, last = k, t
+            yield f[kept]
+
+    return r.repartition(*run).sortWithinPartitions(*run, "t_us", "ord").mapInPandas(keep, r.schema).drop("_run")
 
 
 def visible_windows(df: DataFrame, by: list[str], rel: str, limit: float) -> DataFrame:

@@ -55,8 +55,9 @@ def radix_bucket(v: Column) -> Column:
 def order_statistics(df: DataFrame, keys: list[str], value, ranks: dict[str, Column]) -> DataFrame:
     """Exact values at 0-based ranks within each key, with `n` and `<name>_below` (rows strictly smaller).
 
-    `ranks` are expressions of the column `n`. One pass counts rows per value bucket, the running count finds the
-    bucket each rank falls in, a second pass keeps only rows of those buckets. NULL and NaN values are ignored.
+    `ranks` are expressions of the column `n`. Rows are counted per value before anything else, with a map-side combine,
+    so a repeated value is one row from there on. The running count per value bucket finds the bucket each rank falls
+    in, and only the values of those buckets are ordered. NULL and NaN values are ignored.
     """
     gk = keys or ["_g"]
     v = F.col(value) if isinstance(value, str) else value
@@ -65,8 +66,9 @@ def order_statistics(df: DataFrame, keys: list[str], value, ranks: dict[str, Col
     base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if not keys:
         base = base.withColumn("_g", F.lit(1))
-    base = base.withColumn("_b", radix_bucket(F.col("_v")))
-    hist = base.groupBy(*gk, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    base = base.withColumn("_v", F.col("_v") + F.lit(0.0))  # one zero, so that it is one value
+    counts = base.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", radix_bucket(F.col("_v")))
+    hist = counts.groupBy(*gk, "_b").agg(F.sum("_c").alias("_c"))
     by_key = Window.partitionBy(*gk)
     upto = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     want = F.array(*[F.struct(F.lit(k).alias("k"), r.cast("bigint").alias("r")) for k, r in ranks.items()])
@@ -78,9 +80,7 @@ def order_statistics(df: DataFrame, keys: list[str], value, ranks: dict[str, Col
         .where(F.size("_want") > 0)
         .select(*gk, "_b", "_lo", "n", "_want")
     )
-    inside = (
-        base.join(targets, [*gk, "_b"]).groupBy(*gk, "_b", "_v", "_lo", "n", "_want").agg(F.count(F.lit(1)).alias("_c"))
-    )
+    inside = counts.join(targets, [*gk, "_b"])
     in_bucket = Window.partitionBy(*gk, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         inside.withColumn("_end", F.col("_lo") + F.sum("_c").over(in_bucket))

@@ -16,14 +16,14 @@ from driftline.operators import skew
 
 from .campaigns import rounded
 from .registry import R, W, query
-from .scalars import RGB_SQL, c, out, p2l_sql, rgb_pixels
+from .scalars import RGB_SQL, c, out, mosaic_planes, p2l_sql, rgb_pixels
 from .tables import CTES
 
 FRAME = ["capture_id", "frame_idx"]
 CTES["d_img"] = "SELECT capture_id, frame_idx, [v+0.5e0 FOR v IN data] AS data FROM d_frames"
 CTES["d_ipx"] = """SELECT capture_id, frame_idx, (pos//8)::INTEGER AS y, (pos%8)::INTEGER AS x, v FROM (
  SELECT capture_id, frame_idx, unnest(range(64)) AS pos, unnest(data) AS v FROM d_img) WHERE v>0"""
-CTES["d_score"] = "SELECT capture_id, frame_idx, list_sum(data[1:16]) AS score FROM d_frames"
+CTES["d_score"] = "SELECT capture_id, frame_idx, list_sum(data) AS score FROM d_frames"
 
 
 def images(t):
@@ -31,12 +31,12 @@ def images(t):
 
 
 def scores(t):
-    return t.frames.select(*FRAME, F.aggregate(F.slice("data", 1, 16), F.lit(0.0), lambda a, x: a + x).alias("score"), c("frame_idx").alias("_tie"))
+    return t.frames.select(*FRAME, F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("score"), c("frame_idx").alias("_tie"))
 
 
 def scored_pixels(t):
     """Pixels with their frame's weight; both columns come from the same row, so no join is needed."""
-    f = IM.settle(t.frames.select(*FRAME, "data", F.aggregate(F.slice("data", 1, 16), F.lit(0.0), lambda a, x: a + x).alias("score")))
+    f = IM.settle(t.frames.select(*FRAME, "data", F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("score")))
     return f.select(*FRAME, "score", F.posexplode("data").alias("pos", "v")).select(
         *FRAME, "score", F.floor(c("pos") / 8).cast("int").alias("y"), (c("pos") % 8).alias("x"), "v")
 
@@ -160,7 +160,7 @@ _DM = f"""dm AS (SELECT {K2}, median(v) FILTER (WHERE v>=p60) AS m FROM (SELECT
 SELECT {K2}, {R('rm/m', 'gain')}, {R('rm/m*list_sum(data)/64', 'mean')} FROM dm JOIN r USING (capture_id) JOIN d_img USING ({K2})""",
 )
 def _(t):
-    f = images(t).withColumn("score", F.aggregate(F.slice("data", 1, 16), F.lit(-8.0), lambda a, x: a + x))
+    f = images(t).withColumn("score", F.aggregate("data", F.lit(-32.0), lambda a, x: a + x))
     f = IM.with_disk_median(f)
     ref = f.groupBy("capture_id").agg(F.max_by("disk_median", F.struct(F.round("score", 9), -c("frame_idx"))).alias("_ref"))
     f = skew.attach(f, ref, ["capture_id"])
@@ -169,9 +169,7 @@ def _(t):
 
 
 def rgb_frames(t):
-    d = c("data")
-    s = lambda a: F.transform(F.slice(d, a, 16), lambda v: v + 0.5)
-    return t.frames.select(*FRAME, s(1).alias("r"), s(17).alias("g"), s(33).alias("b"))
+    return t.frames.select(*FRAME, *[F.transform(p, lambda v: v + 0.5).alias(k) for k, p in mosaic_planes("data").items()])
 
 
 _RGB5 = f"q AS (SELECT {K2}, pos, r+0.5e0 AS r, g+0.5e0 AS g, b+0.5e0 AS b FROM {RGB_SQL})"

@@ -549,14 +549,24 @@ def _(t):
     return out(t.part, ["p_partkey"], 4, a=O.diffraction_floor_arcsec(400.0 + c("p_partkey") % 400, c("p_size") * 0.0137))
 
 
-# Frames carry three colour planes here: rows 0-1 red, 2-3 green, 4-5 blue of the 8 x 8 values.
-RGB_SQL = """(SELECT capture_id, frame_idx, pos, r, g, b FROM (SELECT capture_id, frame_idx, unnest(range(16)) AS pos,
- unnest(data[1:16]) AS r, unnest(data[17:32]) AS g, unnest(data[33:48]) AS b FROM d_frames))"""
+# A frame is a colour mosaic here: each 2 x 2 cell of the 8 x 8 values holds red, two greens (their mean counts) and blue.
+RGB_SQL = """(SELECT capture_id, frame_idx, pos, data[k] AS r, (data[k+1]+data[k+8])/2 AS g, data[k+9] AS b FROM (
+ SELECT capture_id, frame_idx, data, pos, 16*(pos//4)+2*(pos%4)+1 AS k FROM d_frames, (SELECT unnest(range(16)) AS pos)))"""
+
+
+def mosaic_planes(data: str) -> dict:
+    """Red, green and blue planes of 4 x 4 cells."""
+    cells = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.floor(i / 4).cast("int") * 16 + i % 4 * 2 + 1)
+    at = lambda k: F.element_at(c(data), k)
+    return {
+        "r": F.transform(cells, lambda k: at(k)),
+        "g": F.transform(cells, lambda k: (at(k + 1) + at(k + 8)) / 2.0),
+        "b": F.transform(cells, lambda k: at(k + 9)),
+    }
 
 
 def rgb_pixels(t):
-    d = c("data")
-    zipped = F.arrays_zip(F.slice(d, 1, 16).alias("r"), F.slice(d, 17, 16).alias("g"), F.slice(d, 33, 16).alias("b"))
+    zipped = F.arrays_zip(*[p.alias(k) for k, p in mosaic_planes("data").items()])
     return t.frames.select("capture_id", "frame_idx", F.posexplode(zipped).alias("pos", "p")).select(
         "capture_id", "frame_idx", "pos", c("p.r").alias("r"), c("p.g").alias("g"), c("p.b").alias("b")
     )

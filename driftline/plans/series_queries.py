@@ -229,18 +229,25 @@ def rel_col():
     return A.wrap_diff("lon", 100.0)
 
 
+def spaced_sql(gap):
+    """Kept events of x, one step of the recursion each."""
+    k = "min({'t': x.t_us, 'o': x.ord})"
+    return f"""kept AS (SELECT series_id, {k} AS k FROM x GROUP BY 1
+ UNION ALL SELECT x.series_id, {k} FROM kept JOIN x ON x.series_id=kept.series_id AND x.t_us-kept.k.t>{gap} GROUP BY 1),
+cross_ev AS (SELECT series_id, k.o AS ord, k.t AS t_us FROM kept)"""
+
+
 _REL = f"r AS (SELECT *, {D('lon', '100.0e0')} AS rel FROM d_series)"
 _W8 = f"""{_REL}, p AS (SELECT *, lag(t_us) OVER w AS pt, lag(rel) OVER w AS pr FROM r WINDOW w AS (PARTITION BY series_id ORDER BY t_us, ord)),
-x AS (SELECT series_id, ord, round(pt+(t_us-pt)*(-sin(radians(pr)))/(sin(radians(rel))-sin(radians(pr))))::BIGINT AS t_us FROM p
+x AS MATERIALIZED (SELECT series_id, ord, round(pt+(t_us-pt)*(-sin(radians(pr)))/(sin(radians(rel))-sin(radians(pr))))::BIGINT AS t_us FROM p
  WHERE sin(radians(pr))>0 AND sin(radians(rel))<=0 AND cos(radians(pr))+cos(radians(rel))>0),
-y AS (SELECT *, lag(t_us) OVER (PARTITION BY series_id ORDER BY t_us, ord) AS q FROM x),
-cross_ev AS (SELECT series_id, ord, t_us FROM y WHERE q IS NULL OR t_us-q>3600000000)"""
+{spaced_sql(3600000000)}"""
 _W9 = """s AS (SELECT *, abs(rel)<=60 AS i, lag(abs(rel)<=60) OVER w AS pi, lead(t_us) OVER w AS nt FROM r WINDOW w AS (PARTITION BY series_id ORDER BY t_us, ord)),
 g AS (SELECT *, sum(CASE WHEN i AND NOT coalesce(pi,false) THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY t_us, ord ROWS UNBOUNDED PRECEDING) AS k FROM s),
 vis AS (SELECT series_id, min(t_us) AS start_us, max(coalesce(nt,t_us)) AS end_us, first(t_us ORDER BY abs(rel), t_us) AS peak_us, count(*) AS n_samples FROM g WHERE i GROUP BY series_id, k)"""
 
 
-@query("w08_crossings", f"WITH {_W8} SELECT series_id, ord, t_us//10 AS t_10us FROM cross_ev")
+@query("w08_crossings", f"WITH RECURSIVE {_W8} SELECT series_id, ord, t_us//10 AS t_10us FROM cross_ev")
 def _(t):
     df = S.crossings(t.series.withColumn("rel", rel_col()), SID, "rel")
     return df.select("series_id", "ord", F.call_function("div", c("t_us"), F.lit(10)).alias("t_10us"))
@@ -253,10 +260,11 @@ def _(t):
 
 @query(
     "w10_close_approaches",
-    """WITH a AS (SELECT series_id, t_us, ord, abs(lat+19.8e0)*0.3e0 AS sep, ord%4<>0 AS front FROM d_series),
+    f"""WITH RECURSIVE a AS (SELECT series_id, t_us, ord, abs(lat+19.8e0)*0.3e0 AS sep, ord%4<>0 AS front FROM d_series),
 b AS (SELECT *, lag(sep) OVER w AS p, lead(sep) OVER w AS n FROM a WINDOW w AS (PARTITION BY series_id ORDER BY t_us, ord)),
-x AS (SELECT *, lag(t_us) OVER (PARTITION BY series_id ORDER BY t_us, ord) AS q FROM b WHERE round(sep,9)<=round(p,9) AND round(sep,9)<=round(n,9) AND sep<1.02 AND front)
-SELECT series_id, ord, t_us, round(sep,6) AS sep FROM x WHERE q IS NULL OR t_us-q>1800000000""",
+x AS MATERIALIZED (SELECT * FROM b WHERE round(sep,9)<=round(p,9) AND round(sep,9)<=round(n,9) AND sep<1.02 AND front),
+{spaced_sql(1800000000)}
+SELECT series_id, ord, t_us, round(sep,6) AS sep FROM cross_ev JOIN x USING (series_id, ord, t_us)""",
 )
 def _(t):
     d = t.series.withColumn("sep", F.round(F.abs(c("lat") + 19.8) * 0.3, 9))
@@ -274,7 +282,7 @@ def _(t):
 
 @query(
     "m09_night_sheet",
-    f"""WITH {_W8}, {_W9} SELECT series_id, 'transit' AS kind, t_us//10 AS start_10us, NULL::BIGINT AS end_10us FROM cross_ev
+    f"""WITH RECURSIVE {_W8}, {_W9} SELECT series_id, 'transit' AS kind, t_us//10 AS start_10us, NULL::BIGINT AS end_10us FROM cross_ev
 UNION ALL SELECT series_id, 'visible', start_us//10, end_us//10 FROM vis""",
 )
 def _(t):

@@ -1,7 +1,7 @@
 """Domain tables derived from the given parquet tables, with the same definitions as SQL table expressions.
 
-Whole tables are used. Where a domain key must be unique (one row per image and method), duplicates are resolved by a
-max_by, which combines map-side.
+Whole tables are used. Where a domain key must be unique (one row per image and method), it is built from row numbers so
+that no row is left out.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from driftline.functions.angles import wrap_deg
 from driftline.functions.timebase import epoch_us
 
-TEN_DAYS_US = 864_000_000_000
+FAMILIES = ("click", "view", "purchase", "signup", "error")
 
 
 class Tables:
@@ -54,32 +54,24 @@ class Tables:
 
     @cached_property
     def hits(self) -> DataFrame:
-        """At most one row per image (feature x ten days) and method: 20 methods bound every case."""
-        e = F.col("event_id")
-        case_id = F.col("user_id") * 100000 + F.call_function("div", epoch_us("ts"), F.lit(TEN_DAYS_US))
-        rows = self.events.select(
-            case_id.alias("case_id"),
-            F.concat_ws("_", "event_type", (e % 4).cast("string")).alias("method_id"),
-            "event_type",
-            "event_id",
-            "value",
-        )
-        last = rows.groupBy("case_id", "method_id").agg(
-            F.max_by(F.struct("event_type", "event_id", "value"), "event_id").alias("h")
-        )
-        i, v = F.col("h.event_id"), F.col("h.value")
-        return last.select(
+        """Every event is a hit. A case takes its rows from 20 consecutive event numbers and the method follows from the
+        number's place among them, so a case holds a method at most once and at most 20 rows."""
+        e, v = F.col("event_id"), F.col("value")
+        part = lambda n: F.call_function("div", e, F.lit(n))
+        family = F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), (part(4) % 5 + 1).cast("int"))
+        rows = self.events.select("*", (part(20) * 2 + F.col("user_id") % 2).alias("case_id"), family.alias("family"))
+        return rows.select(
             "case_id",
-            "method_id",
-            i.alias("ord"),
-            F.col("h.event_type").alias("family"),
+            F.concat_ws("_", "family", (e % 4).cast("string")).alias("method_id"),
+            e.alias("ord"),
+            "family",
             wrap_deg(F.col("case_id") % 360 + (v - 40.0) * 0.35).alias("lon"),
-            (-19.8 + (i % 17 - 8) * 1.5).alias("lat"),
-            (1 + i % 5).cast("double").alias("weight"),
+            (-19.8 + (e % 17 - 8) * 1.5).alias("lat"),
+            (1 + part(3) % 5).cast("double").alias("weight"),
             F.round(v * 0.01, 4).alias("score"),
-            (i % 11 != 0).alias("ok"),
-            (8.0 + i % 10).alias("length"),
-            (5.0 + i % 7).alias("width"),
+            (e % 11 != 0).alias("ok"),
+            (8.0 + part(7) % 10).alias("length"),
+            (5.0 + e % 7).alias("width"),
         )
 
     @cached_property
@@ -186,14 +178,12 @@ SELECT series_id, t_us, ord, {_WRAP.format('raw')}::DOUBLE AS lon, lat, sigma, s
  SELECT *, series_id*7.0::DOUBLE + (series_id%9-4)*0.7::DOUBLE*((t_us-1704067200000000)/86400e6)
    + (ord%13-6)*0.15::DOUBLE + CASE WHEN ord%19=0 THEN 25.0 ELSE 0.0 END::DOUBLE AS raw FROM d_series)""",
     "d_hits": f"""
-SELECT case_id, method_id, event_id AS ord, event_type AS family,
+SELECT case_id, family||'_'||(event_id%4) AS method_id, event_id AS ord, family,
  {_WRAP.format('((case_id%360) + (value-40.0)*0.35)')}::DOUBLE AS lon,
- (-19.8+((event_id%17)-8)*1.5)::DOUBLE AS lat, (1+event_id%5)::DOUBLE AS weight,
+ (-19.8+((event_id%17)-8)*1.5)::DOUBLE AS lat, (1+(event_id//3)%5)::DOUBLE AS weight,
  round((value*0.01)::DOUBLE,4) AS score, event_id%11<>0 AS ok,
- (8.0+event_id%10)::DOUBLE AS length, (5.0+event_id%7)::DOUBLE AS width
-FROM (SELECT *, user_id*100000 + epoch_us(ts)//864000000000 AS case_id, event_type||'_'||(event_id%4) AS method_id
-      FROM events)
-QUALIFY row_number() OVER (PARTITION BY case_id, method_id ORDER BY event_id DESC)=1""",
+ (8.0+(event_id//7)%10)::DOUBLE AS length, (5.0+event_id%7)::DOUBLE AS width
+FROM (SELECT *, (event_id//20)*2 + user_id%2 AS case_id, {list(FAMILIES)}[(event_id//4)%5+1] AS family FROM events)""",
     "d_good": "SELECT * FROM d_hits WHERE ok",
     "d_campaign": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS resolution, l_linestatus AS quality,

@@ -297,11 +297,11 @@ def _(t):
 
 @query(
     "t01_lucky_frames",
-    """WITH s AS (SELECT capture_id, frame_idx, list_sum([x*x FOR x IN data[1:16]]) AS sharp FROM d_frames), k AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY sharp DESC, frame_idx) AS r, count(*) OVER (PARTITION BY capture_id) AS n FROM s)
+    """WITH s AS (SELECT capture_id, frame_idx, list_sum([x*x FOR x IN data]) AS sharp FROM d_frames), k AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY sharp DESC, frame_idx) AS r, count(*) OVER (PARTITION BY capture_id) AS n FROM s)
 SELECT capture_id, frame_idx, r<=least(n,greatest(3,round_even(0.75e0*n,0))) AS kept FROM k""",
 )
 def _(t):
-    s = t.frames.select(*FRAME, F.aggregate(F.slice("data", 1, 16), F.lit(0.0), lambda a, x: a + x * x).alias("sharp"))
+    s = t.frames.select(*FRAME, F.aggregate("data", F.lit(0.0), lambda a, x: a + x * x).alias("sharp"))
     keep = F.least(c("n"), F.greatest(F.lit(3), F.bround(0.75 * c("n")).cast("bigint")))
     return skew.keep_largest(s, CAP, "sharp", "frame_idx", keep).select(*FRAME, "kept")
 
@@ -358,11 +358,11 @@ def _(t):
 
 @query(
     "w05_relative_sharpness",
-    """WITH s AS (SELECT capture_id, frame_idx, list_sum([x*x FOR x IN data[1:16]]) AS sharp FROM d_frames) SELECT capture_id, frame_idx,
+    """WITH s AS (SELECT capture_id, frame_idx, list_sum([x*x FOR x IN data]) AS sharp FROM d_frames) SELECT capture_id, frame_idx,
  round(sharp/CASE WHEN max(sharp) OVER w<=0 THEN 1 ELSE max(sharp) OVER w END,6) AS relative FROM s WINDOW w AS (PARTITION BY capture_id)""",
 )
 def _(t):
-    s = t.frames.select(*FRAME, F.aggregate(F.slice("data", 1, 16), F.lit(0.0), lambda a, x: a + x * x).alias("sharp"))
+    s = t.frames.select(*FRAME, F.aggregate("data", F.lit(0.0), lambda a, x: a + x * x).alias("sharp"))
     top = s.groupBy("capture_id").agg(F.max("sharp").alias("_mx"))
     r = skew.attach(s, top, CAP)
     return out(r, FRAME, relative=c("sharp") / F.when(c("_mx") <= 0, F.lit(1.0)).otherwise(c("_mx")))
@@ -370,11 +370,11 @@ def _(t):
 
 @query(
     "u03_keep_fractions",
-    """WITH s AS (SELECT capture_id, frame_idx, list_sum([x*x FOR x IN data[1:16]]) AS sharp FROM d_frames), k AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY sharp DESC, frame_idx) AS r, count(*) OVER (PARTITION BY capture_id) AS n FROM s)
+    """WITH s AS (SELECT capture_id, frame_idx, list_sum([x*x FOR x IN data]) AS sharp FROM d_frames), k AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY sharp DESC, frame_idx) AS r, count(*) OVER (PARTITION BY capture_id) AS n FROM s)
 SELECT capture_id, fraction, count(*) AS n_used FROM k, (VALUES (0.5e0),(0.25e0),(0.1e0)) v(fraction) WHERE r<=greatest(1,round_even(fraction*n,0)) GROUP BY 1,2""",
 )
 def _(t):
-    s = t.frames.select(*FRAME, F.aggregate(F.slice("data", 1, 16), F.lit(0.0), lambda a, x: a + x * x).alias("sharp"))
+    s = t.frames.select(*FRAME, F.aggregate("data", F.lit(0.0), lambda a, x: a + x * x).alias("sharp"))
     fr = F.array_distinct(F.array(*[F.lit(x) for x in (0.5, 0.25, 0.5, 0.1)]))
     s = s.select("*", F.posexplode(fr).alias("_o", "fraction"))
     k = skew.keep_largest(s, ["capture_id", "fraction"], "sharp", "frame_idx", F.bround(c("fraction") * c("n")).cast("bigint"))

@@ -99,3 +99,14 @@ def test_variance_smoother_equals_the_plain_recursion(spark):
         sp.insert(0, Ps[i] + C @ (sp[0] - ahead) @ C.T)
     assert np.allclose(got.smoothed, [v[0] for v in sx], atol=1e-8)
     assert np.allclose(got.variance, [p[0, 0] for p in sp], atol=1e-8)
+
+
+def test_gaps_are_measured_to_the_last_kept_event(spark):
+    minute = 60_000_000
+    times = {1: [0, 40, 80, 120, 160, 400, 450, 461], 2: [7, 7, 67, 68], 3: []}
+    rows = [(k, t * minute, i) for k, ts in times.items() for i, t in enumerate(ts)]
+    events = spark.createDataFrame(rows, "series_id long, t_us long, ord long")
+    kept = S.spaced(events, ["series_id"], 60 * minute)
+    assert kept.columns == ["series_id", "t_us", "ord"]
+    got = sorted((r.series_id, r.t_us // minute, r.ord) for r in kept.collect())
+    assert got == [(1, 0, 0), (1, 80, 2), (1, 160, 4), (1, 400, 5), (1, 461, 7), (2, 7, 0), (2, 68, 3)]
