@@ -46,12 +46,21 @@ class Vocabulary:
         self.ids = {p: (i, s) for i, (p, s) in enumerate(pieces) if p not in special and not BYTE.fullmatch(p)}
         #: every beginning of a piece, with the piece's id and score where it is one
         self.begin = {p[:k]: None for p in self.ids for k in range(1, len(p) + 1)} | self.ids
+        #: the same by single characters: id and score where a piece ends, and the steps from there
+        self.steps = self.grow()
         #: pairs of neighbours inside pieces; between other characters the lattice always has a border
         self.joints = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.byte_score = min((s for _, s in self.ids.values() if s > -1e8), default=0.0) - 10.0
         spelled = {i: bytes([b]) for b, i in self.bytes.items()}
         self.spelled = [spelled.get(i, p.replace(SPACE, " ").encode() if p not in special else b"") for i, (p, _) in enumerate(pieces)]
 
+    def grow(self) -> dict:
+        below: dict[str, dict] = {"": {}}
+        for p in sorted(self.begin):
+            below[p] = {}
+            below[p[:-1]][p[-1]] = (*(self.begin[p] or (None, 0.0)), below[p])
+        return below[""]
+
     def spell(self, char: str) -> tuple[tuple[int, ...], float]:
         raw = (SPACE if char == LITERAL else char).encode("utf-8", "replace")
         return tuple(self.bytes[b] for b in raw), self.byte_score * len(raw)
@@ -73,23 +82,24 @@ class Vocabulary:
 
 def best_two(unit: str, v: Vocabulary) -> tuple[tuple[int, ...], float, float]:
     """Ids and score of the best segmentation, and by how much the second one is worse (infinite: there is none)."""
-    n, begin = len(unit), v.begin
+    n = len(unit)
     low = float("-inf")
     first, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
     first[0] = 0.0
     for i in range(n):
-        f, s, j = first[i], second[i], i
-        while j < n:
-            j += 1
-            got = begin.get(unit[i:j], False)
-            if got:
-                edge, score = got
+        f, s, step = first[i], second[i], v.steps
+        for j in range(i + 1, n + 1):
+            got = step.get(unit[j - 1])
+            if got is not None:
+                edge, score, step = got
             elif j == i + 1:
-                edge, score = v.spell(unit[i])
-            elif got is None:
-                continue
+                edge, step = None, None
             else:
                 break
+            if edge is None:
+                if j > i + 1:
+                    continue
+                edge, score = v.spell(unit[i])
             x = f + score
             if x > first[j]:
                 y = s + score
@@ -97,7 +107,7 @@ def best_two(unit: str, v: Vocabulary) -> tuple[tuple[int, ...], float, float]:
                 first[j], back[j] = x, (i, edge)
             elif x > second[j]:
                 second[j] = x
-            if got is False:
+            if not step:
                 break
     path, j = [], n
     while j:
