@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,43 +232,68 @@ def extent(frames: DataFrame, width: int, height: int, keys, perc: float = 14.0)
         lat(F.array_min(ys)).alias("north"), lat(F.array_max(ys)).alias("south"))
 
 
-_SHAPES = "struct<gx:double,gy:double,mx:double,my:double,k0:double,k1:double>"
-
-
-def _iterate(mask: pd.Series) -> pd.DataFrame:
-    """Per image: geometric median (40 steps), mean-shift mode (50), two means of x (15)."""
-    rows = []
-    for m in mask:
-        p = np.array([[q["x"], q["y"]] for q in m], dtype=float)
-        g = p.mean(axis=0)
-        for _ in range(40):
-            w = 1.0 / np.clip(np.hypot(*(p - g).T), 1e-6, None)
-            new = (p * w[:, None]).sum(axis=0) / w.sum()
-            done = np.hypot(*(new - g)) < 1e-4
-            g = new
-            if done:
-                break
-        s = p.mean(axis=0)
-        for _ in range(50):
-            w = np.exp(-0.5 * ((p - s) ** 2).sum(axis=1) / 16.0)
-            new = (p * w[:, None]).sum(axis=0) / (w.sum() + 1e-12)
-            done = np.hypot(*(new - s)) < 1e-3
-            s = new
-            if done:
-                break
-        a, b = np.percentile(p[:, 0], 30), np.percentile(p[:, 0], 70)
-        for _ in range(15):
-            near = np.abs(p[:, 0] - a) <= np.abs(p[:, 0] - b)
-            if near.sum() < 2 or (~near).sum() < 2:
-                break
-            a, b = p[near, 0].mean(), p[~near, 0].mean()
-        rows.append((*g, *s, a, b))
-    return pd.DataFrame(rows, columns=["gx", "gy", "mx", "my", "k0", "k1"])
-
-
-def iterated_centres(frames: DataFrame, width: int, keys, perc: float = 15.0, least: int = 3) -> DataFrame:
-    d = dark_pixels(frames, width, [perc], keys).where(F.size("mask") >= least)
-    return d.select(*keys, F.size("mask").alias("n"), F.pandas_udf(_iterate, _SHAPES)("mask").alias("s")).select(*keys, "n", "s.*")
+def moved_centre(px: Column, weight, steps: int, tolerance: float) -> Column:
+    """Centre that is the weighted mean of the pixels under weights it sets itself, from their plain mean, for a fixed count of steps."""
+    state = lambda x, y, done: F.struct(x.alias("x"), y.alias("y"), done.alias("done"))
+
+    def mean(w) -> Column:
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("w", "x", "y")])
+        add = lambda a, p: F.struct((a["w"] + w(p)).alias("w"), (a["x"] + w(p) * p["x"]).alias("x"), (a["y"] + w(p) * p["y"]).alias("y"))
+        return F.aggregate(px, zero, add, lambda a: state(a["x"] / (a["w"] + 1e-12), a["y"] / (a["w"] + 1e-12), F.lit(False)))
+
+    def step(s: Column, _: Column) -> Column:
+        moved = lambda n: state(n["x"], n["y"], F.hypot(n["x"] - s["x"], n["y"] - s["y"]) < tolerance)
+        new = F.element_at(F.transform(F.array(mean(lambda p: weight(p, s))), moved), 1)
+        return F.when(s["done"], s).otherwise(new)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), mean(lambda p: F.lit(1.0)), step)
+
+
+def two_means(px: Column, low: Column, high: Column, steps: int, part: int) -> Column:
+    """Two means of x: their last values `a`, `b` and the ones `pa`, `pb` that dealt the pixels last."""
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "m", "z")])
+
+    def step(s: Column, _: Column) -> Column:
+        near = lambda p: F.abs(p["x"] - s["a"]) <= F.abs(p["x"] - s["b"])
+        one, nil = F.lit(1.0), F.lit(0.0)
+        sums = F.aggregate(px, zero, lambda t, p: F.struct(
+            (t["n"] + F.when(near(p), one).otherwise(nil)).alias("n"), (t["x"] + F.when(near(p), p["x"]).otherwise(nil)).alias("x"),
+            (t["m"] + F.when(near(p), nil).otherwise(one)).alias("m"), (t["z"] + F.when(near(p), nil).otherwise(p["x"])).alias("z")))
+        state = lambda a, b, done: F.struct(a.alias("a"), b.alias("b"), s["a"].alias("pa"), s["b"].alias("pb"), done.alias("done"))
+        new = F.element_at(F.transform(F.array(sums), lambda t: F.when(
+            (t["n"] >= part) & (t["m"] >= part), state(t["x"] / t["n"], t["z"] / t["m"], F.lit(False))).otherwise(state(s["a"], s["b"], F.lit(True)))), 1)
+        return F.when(s["done"], s).otherwise(new)
+
+    start = F.struct(low.alias("a"), high.alias("b"), low.alias("pa"), high.alias("pb"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+
+
+def iterated_centres(
+    frames: DataFrame, width: int, keys, perc: float = 15.0, shift_perc: float = 16.0, least: tuple = (15, 20, 30), part: int = 5
+) -> DataFrame:
+    """Per image: geometric median (gx, gy; 40 steps), density mode (mx, my; 50), two means of x (k0, k1; 15) and the centre of the darker
+    one (dx, dy). `n` pixels are dark, `n_shift` for the mode. A centre with fewer than its share of `least` is null and its ok is false.
+    """
+    d = dark_pixels(frames, width, [perc], keys)
+    d = settle(d.withColumns({
+        "wide": F.filter("px", lambda p: p["v"] <= quantile("vals", shift_perc / 100.0)), "xs": F.array_sort(F.transform("mask", lambda p: p["x"]))}))
+    reach = max(4.0, 0.08 * width)
+    away2 = lambda p, s: F.pow(p["x"] - s["x"], F.lit(2.0)) + F.pow(p["y"] - s["y"], F.lit(2.0))
+    median = moved_centre(c("mask"), lambda p, s: 1.0 / F.greatest(F.sqrt(away2(p, s)), F.lit(1e-6)), 40, 1e-4)
+    mode = moved_centre(c("wide"), lambda p, s: F.exp(-0.5 * away2(p, s) / (reach * reach)), 50, 1e-3)
+    enough = [F.size("mask") >= least[0], F.size("wide") >= least[1], F.size("mask") >= least[2]]
+    d = settle(d.withColumns({
+        "g": F.when(enough[0], median), "m": F.when(enough[1], mode),
+        "k": F.when(enough[2], two_means(c("mask"), quantile("xs", 0.3), quantile("xs", 0.7), 15, part))}))
+    near = lambda p: F.abs(p["x"] - c("k.pa")) <= F.abs(p["x"] - c("k.pb"))
+    d = settle(d.withColumns({"left": F.filter("mask", near), "right": F.filter("mask", lambda p: ~near(p))}))
+    mean = lambda a, f: F.when(F.size(a) > 0, total(a, lambda p: p[f]) / F.size(a))
+    first = F.coalesce(mean("left", "v") <= mean("right", "v"), F.size("left") > 0)
+    d = settle(d.withColumn("dark", F.when(enough[2], F.when(first, c("left")).otherwise(c("right")))))
+    return d.select(
+        *keys, F.size("mask").alias("n"), F.size("wide").alias("n_shift"), c("g.x").alias("gx"), c("g.y").alias("gy"),
+        c("m.x").alias("mx"), c("m.y").alias("my"), c("k.a").alias("k0"), c("k.b").alias("k1"), mean("dark", "x").alias("dx"), mean("dark", "y").alias("dy"),
+        enough[0].alias("median_ok"), enough[1].alias("mode_ok"), enough[2].alias("split_ok"))
 
 
 def histogram_mode(frames: DataFrame, width: int, keys, perc: float = 15.0, cell: int = 2) -> DataFrame:

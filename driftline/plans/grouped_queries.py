@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import angles as A
 from driftline.functions import priors as PR
+from driftline.operators import consensus as CO
 from driftline.operators import images as IM
 from driftline.operators import series as S
 from driftline.operators import smoothing as SM
@@ -30,9 +31,9 @@ def soup_hits(t):
 
 @query("a11_robust_consensus")
 def _(t):
-    r = SO.robust_consensus(soup_hits(t), CASE, ["click_0", "view_0", "purchase_0"])
-    names = ("lon", "lat", "sigma_lon", "sigma_lat", "score")
-    return out(r, ["case_id", "n_in", "n_out", "n_clusters", "inliers"], **{n: c(n) for n in names})
+    r = CO.robust_consensus(soup_hits(t), CASE, ["click_0", "view_0", "purchase_0"])
+    names = ("lon", "lat", "sigma_lon", "sigma_lat", "score", "n_eff")
+    return out(r, ["case_id", "n_in", "n_out", "n_clusters", "inliers", "outliers", "cut"], **{n: c(n) for n in names})
 
 
 _SO = f"""h AS (SELECT *, {prior_sql()} AS pw, floor(lon/30)::INTEGER AS cluster, (case_id*7)%360 AS cm, CASE WHEN case_id%3<>0 THEN {W('case_id%360+case_id%21-10')} END AS pl FROM d_good),

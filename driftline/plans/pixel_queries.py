@@ -333,9 +333,37 @@ def _(t):
     return rounded(IM.extent(images(t), 8, 8, FRAME), FRAME)
 
 
-@query("x22_iterated_centres")
-def _(t):
-    return rounded(IM.iterated_centres(images(t), 8, FRAME), [*FRAME, "n"])
+def _moved(name, src, weight, steps, tolerance):
+    """A centre that moves to its weighted mean, as a recursion over frames with their pixels in lists."""
+    at = lambda v: f"list_sum([w[j]*{v}[j] FOR j IN range(1,len(w)+1)])/(list_sum(w)+1e-12)"
+    return f"""{name}(i, {K2}, xs, ys, cx, cy, done) AS (SELECT 0, {K2}, xs, ys, list_avg(xs), list_avg(ys), false FROM {src}
+UNION ALL SELECT i+1, {K2}, xs, ys, nx, ny, sqrt((nx-cx)**2+(ny-cy)**2)<{tolerance} FROM (SELECT *, {at('xs')} AS nx, {at('ys')} AS ny FROM (
+ SELECT *, [{weight} FOR j IN range(1,len(xs)+1)] AS w FROM {name} WHERE i<{steps} AND NOT done))),
+{name}_end AS (SELECT {K2}, cx, cy FROM {name} QUALIFY row_number() OVER (PARTITION BY {K2} ORDER BY i DESC)=1)"""
+
+
+_R2 = "((xs[j]-cx)**2+(ys[j]-cy)**2)"
+_PXL = "list(x::DOUBLE ORDER BY y,x) AS xs, list(y::DOUBLE ORDER BY y,x) AS ys"
+X22_SQL = f"""WITH RECURSIVE {mask_cte([15, 16])}, dk AS (SELECT {K2}, count(*) AS n, {_PXL}, list(v ORDER BY y,x) AS vs, quantile_cont(x::DOUBLE,0.3e0) AS lo, quantile_cont(x::DOUBLE,0.7e0) AS hi FROM mk WHERE perc=15 GROUP BY ALL),
+wd AS (SELECT {K2}, count(*) AS n, {_PXL} FROM mk WHERE perc=16 GROUP BY ALL), dk3 AS (FROM dk WHERE n>=6), wd3 AS (FROM wd WHERE n>=6),
+{_moved('gm', 'dk3', f'1/greatest(sqrt({_R2}),1e-6)', 40, '1e-4')},
+{_moved('ms', 'wd3', f'exp(-0.5*{_R2}/16)', 50, '1e-3')},
+km(i, {K2}, xs, ys, vs, a, b, pa, pb, done) AS (SELECT 0, {K2}, xs, ys, vs, lo, hi, lo, hi, false FROM dk WHERE n>=8
+UNION ALL SELECT i+1, {K2}, xs, ys, vs, CASE WHEN ok THEN list_avg(l) ELSE a END, CASE WHEN ok THEN list_avg(r) ELSE b END, a, b, NOT ok FROM (SELECT *, len(l)>=2 AND len(r)>=2 AS ok FROM (
+ SELECT *, [x FOR x IN xs IF abs(x-a)<=abs(x-b)] AS l, [x FOR x IN xs IF abs(x-a)>abs(x-b)] AS r FROM km WHERE i<15 AND NOT done))),
+ke AS (SELECT * FROM km QUALIFY row_number() OVER (PARTITION BY {K2} ORDER BY i DESC)=1),
+kp AS (SELECT {K2}, a, b, unnest(xs) AS x, unnest(ys) AS y, unnest(vs) AS v, pa, pb FROM ke),
+kg AS (SELECT {K2}, abs(x-pa)>abs(x-pb) AS right_, avg(v) AS v, avg(x) AS dx, avg(y) AS dy, any_value(a) AS k0, any_value(b) AS k1 FROM kp GROUP BY ALL),
+ks AS (SELECT * FROM kg QUALIFY row_number() OVER (PARTITION BY {K2} ORDER BY v, right_)=1)
+SELECT {K2}, coalesce(dk.n,0)::INTEGER AS n, coalesce(wd.n,0)::INTEGER AS n_shift, {R('gm_end.cx', 'gx')}, {R('gm_end.cy', 'gy')}, {R('ms_end.cx', 'mx')}, {R('ms_end.cy', 'my')}, {R('k0', 'k0')}, {R('k1', 'k1')}, {R('dx', 'dx')}, {R('dy', 'dy')},
+ coalesce(dk.n,0)>=6 AS median_ok, coalesce(wd.n,0)>=6 AS mode_ok, coalesce(dk.n,0)>=8 AS split_ok
+FROM d_frames LEFT JOIN dk USING ({K2}) LEFT JOIN wd USING ({K2}) LEFT JOIN gm_end USING ({K2}) LEFT JOIN ms_end USING ({K2}) LEFT JOIN ks USING ({K2})"""
+
+
+@query("x22_iterated_centres", X22_SQL)
+def _(t):
+    r = IM.iterated_centres(images(t), 8, FRAME, least=(6, 6, 8), part=2)
+    return out(r, [*FRAME, "n", "n_shift", "median_ok", "mode_ok", "split_ok"], **{n: c(n) for n in ("gx", "gy", "mx", "my", "k0", "k1", "dx", "dy")})
 
 
 @query(

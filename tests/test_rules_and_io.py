@@ -10,7 +10,6 @@ from driftline.functions import optics as O
 from driftline.functions import parsing as P
 from driftline.functions import timebase as T
 from driftline.operators import hits as H
-from driftline.operators import soup as SO
 from driftline.plans import pixel_queries as PQ
 from driftline.plans.tables import Tables
 from driftline.sources import readers as RD
@@ -62,12 +61,33 @@ def test_spread_without_pairs_equals_pairs(spark):
     assert abs(r[1].lon_spread - want) < 1e-9 and r[1].lat_spread == 4.0 and r[2].lon_spread == 0.0
 
 
-def test_consensus_prefers_the_supported_cluster():
-    rows = [dict(id=f"m{i}", family=f"f{i}", lon=100 + i * 0.5, lat=-21.0 - 0.1 * i, w=1.0, edge=False) for i in range(6)]
-    rows.append(dict(id="far", family="x", lon=220.0, lat=-21.0, w=1.2, edge=False))
-    r = SO.consensus_of(rows, 90.0, 101.0, -21.0, set())
-    assert abs(r[0] - 101.2) < 1.0 and r[4] == 6 and "far" not in r[8] and r[6] == 2
-    assert SO.consensus_of([], None, None, None, set()) == (None,) * 9
+def consensus(spark, rows, **more):
+    from driftline.operators import consensus as CO
+
+    names = "case_id int, ord int, method_id string, family string, lon double, lat double, prior_weight double, cm double, pipe_lon double, pipe_lat double"
+    return {r.case_id: r for r in CO.robust_consensus(spark.createDataFrame(rows, names), ["case_id"], [], **more).collect()}
+
+
+def test_consensus_prefers_the_supported_cluster(spark):
+    rows = [(1, i, f"m{i}", f"f{i}", 100 + i * 0.5, -21.0 - 0.1 * i, 1.0, 90.0, 101.0, -21.0) for i in range(6)]
+    rows.append((1, 6, "far", "x", 220.0, -21.0, 1.2, 90.0, 101.0, -21.0))
+    rows.append((2, 0, "m0", "f0", 359.0, -21.0, 1.0, None, None, None))  # alone
+    rows.append((3, 0, "m0", "f0", 180.0, -21.0, 1.0, 90.0, None, None))  # at the map's edge
+    rows += [(4, i, f"m{i}", "f", 50.0 + i * 0.1, -22.0, 5.0 - i * 0.1, None, None, None) for i in range(9)]
+    rows += [(5, 0, "m0", "f0", 359.0, -22.0, 1.0, None, None, None), (5, 1, "m1", "f1", 1.0, -22.0, 1.0, None, None, None)]
+    r = consensus(spark, rows)
+    assert abs(r[1].lon - 101.2) < 1.0 and r[1].n_in == 6 and r[1].n_clusters == 2 and r[1].outliers == "far"
+    assert abs(sum(w.weight for w in r[1].weights) - 1.0) < 1e-9 and 1.0 <= r[1].n_eff <= 6.0
+    assert (r[2].lon, r[2].n_in, r[2].inliers, r[2].score) == (359.0, 1, "m0", None)
+    assert r[3].lon is None and r[3].n_in is None and r[3].outliers == "m0"
+    assert r[4].cut == ""  # two of nine would be too few, so the family limit does not apply
+    assert abs((r[5].lon + 180.0) % 360.0 - 180.0) < 1e-6 and r[5].n_in == 2  # across the seam
+    low = consensus(spark, rows[-11:-2], least=1)
+    assert low[4].cut == ",".join(f"m{i}" for i in range(2, 9)) and low[4].n_in == 2
+
+
+def test_consensus_of_no_hits(spark):
+    assert consensus(spark, []) == {}
 
 
 def test_observation_round_trip(spark, tmp_path):
@@ -126,10 +146,12 @@ def test_iterated_centres_find_the_dense_group(spark):
     for i in (9, 10, 17, 18, 25, 63):  # a dark block around (x 1.5, y 2) and one far pixel
         data[i] = 0.1
     df = spark.createDataFrame([(1, 1, data)], "capture_id int, frame_idx int, data array<double>")
-    r = IM.iterated_centres(df, 8, ["capture_id", "frame_idx"], perc=5.0).first()
+    flat = spark.createDataFrame([(1, 2, [0.0] * 64)], df.schema)
+    r, none = IM.iterated_centres(df.union(flat), 8, ["capture_id", "frame_idx"], perc=5.0, shift_perc=5.0, least=(3, 3, 3), part=1).orderBy("frame_idx").collect()
     assert r.n == 6 and abs(r.gx - 1.4) < 0.6 and abs(r.gy - 2.0) < 0.6  # the geometric median resists the far pixel
     assert r.mx < 2.0 and r.my < 3.0  # the mode sits in the block
-    assert min(r.k0, r.k1) < 2.5
+    assert min(r.k0, r.k1) < 2.5 and r.dx < 2.5 and r.split_ok
+    assert none.n == 0 and none.gx is None and none.mx is None and none.dx is None and not none.median_ok
 
 
 def test_time_comes_from_the_base_name(spark):
