@@ -1,14 +1,15 @@
 """Main text of pages: markup roles and a host-wide search for repeated token runs.
 
 A tolerant parser cuts a page into blocks and gives each a role: `main` inside article or main elements, `noise` inside menus, headers,
-footers, asides, notices, adverts, forms, comments and the like, and `open` elsewhere. Pages with a main element give their main
-blocks (their open ones, if it holds none). On other pages the markup doesn't decide, and there the token streams of a host's pages are searched together: the suffixes
+footers, asides, notices, adverts, forms, comments and the like, and `open` elsewhere. A page's blocks are its main ones, or its open
+ones, if it holds none. The token streams of all pages of a host are searched together: the suffixes
 of all streams that share their first `RUN` tokens form one interval of the host's suffix array, and an interval that reaches over
 distinct pages is a repeated substring. Spark groups the suffixes by those tokens instead of sorting one array in one task. Blocks
 that such substrings cover are boilerplate and go; unique runs stay. Blocks of fewer than `RUN` tokens stand for one suffix each.
 
-Only a block covered by half or more goes, and only on pages that keep some text; where all of a page repeats, it is a copy of another
-page and keeps its open blocks.
+Paragraphs and headings of the role `main` are guarded: they count as occurrences, but stay themselves. Of the others, only a block
+covered by half or more goes, and only on pages that keep some text; where all of a page repeats, it is a copy of another
+page and keeps its blocks. The tokens of a run are compared by a 64-bit digest.
 
 Defined cases: null or empty html, or a page without text, gives an empty text; a null url is a host of its own (empty); repeated
 rows of one page_id are one page to the search and each get their row; a null page_id takes no part in the search.
@@ -16,20 +17,19 @@ rows of one page_id are one page to the search and each get their row; a null pa
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .near_duplicates import ROLL, WordHashes, cut_and_count, mixed
 from .urls import host_path
 
 RUN = 8
-#: Pages with such an element take the markup's word and skip the search.
-MAIN_TAG = r"(?i)<(article|main)[\s>/]"
 
 # Elements by their part in a page.
 BLOCK_TAGS = frozenset(
@@ -48,10 +48,12 @@ NOISE_NAMES = frozenset(
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 SPACE = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that stay where their role is `main`.
+GUARDED = HEADINGS | {"p"}
 
 
 class Blocks(HTMLParser):
-    """Collects (role, text) of the blocks of a page."""
+    """Collects (role, text, guarded) of the blocks of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -59,7 +61,8 @@ class Blocks(HTMLParser):
         self.hidden: list[str] = []
         self.text: list[str] = []
         self.heading = False
-        self.found: list[tuple[str, str]] = []
+        self.block = ""
+        self.found: list[tuple[str, str, bool]] = []
 
     def role(self) -> str:
         roles = [r for _, r in self.stack]
@@ -71,7 +74,8 @@ class Blocks(HTMLParser):
         text = SPACE.sub(" ", "".join(self.text)).strip()
         self.text.clear()
         if text:
-            self.found.append((self.role(), text))
+            role = self.role()
+            self.found.append((role, text, role == "main" and self.block in GUARDED))
 
     def region(self, tag: str, attrs: dict[str, str | None]) -> str:
         names = re.split(r"[^a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
@@ -99,6 +103,8 @@ class Blocks(HTMLParser):
         if tag in BLOCK_TAGS or region and tag not in VOID_TAGS:
             self.flush()
             self.heading = tag in HEADINGS
+            if tag in BLOCK_TAGS:
+                self.block = tag
         elif tag in ("br", "td", "th", "wbr", "img"):
             self.text.append(" " if tag != "wbr" else "")
         if tag == "body":
@@ -126,6 +132,7 @@ class Blocks(HTMLParser):
         if tag in BLOCK_TAGS:
             self.flush()
             self.heading = False
+            self.block = ""
         elif tag in ("td", "th"):
             self.text.append(" ")
         for k in range(len(self.stack) - 1, -1, -1):
@@ -139,54 +146,71 @@ class Blocks(HTMLParser):
             self.text.append(data)
 
 
-def blocks_of(html: str | None) -> list[tuple[str, str]]:
-    """The blocks of a page without noise: its main ones, or else its open ones."""
+def blocks_of(html: str | None) -> list[tuple[str, bool]]:
+    """The blocks of a page without noise, and whether they are guarded: its main ones, or else its open ones."""
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
     parser.flush()
     kept = [b for b in parser.found if b[0] == "main"]
-    return kept or [b for b in parser.found if b[0] == "open"]
+    return [(text, guarded) for _, text, guarded in kept or [b for b in parser.found if b[0] == "open"]]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks."""
+    """page_id, url, blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [blocks_of(h) for h in b["html"]]
-            yield pd.DataFrame({
-                "page_id": b["page_id"], "url": b["url"], "host": b["host"], "blocks": [[t for _, t in f] for f in found],
-            })
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "blocks": [[t for t, _ in blocks_of(h)] for h in b["html"]]})
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, blocks array<string>")
 
-    host, _ = host_path(F.col("url"))
-    return pages.select("page_id", "url", host.alias("host"), "html").mapInPandas(
-        run, "page_id long, url string, host string, blocks array<string>"
-    )
+
+def leads(tokens: list[bytes], start: int, hashes: WordHashes, run_length: int = RUN) -> np.ndarray:
+    """64-bit digests of the first tokens of each suffix; a block of fewer tokens has one. `start` stands for the host."""
+    n = len(tokens)
+    width = min(run_length, n)
+    h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, n)
+    x = np.full(n - width + 1, (start + width) % (1 << 64), np.uint64)
+    for k in range(width):
+        x += h[k : n - width + 1 + k] * ROLL[k]
+    return mixed(x).view(np.int64)
 
 
 def suffixes(pages: DataFrame, run_length: int = RUN) -> DataFrame:
-    """host, page_id, block, at, size (tokens), lead: one row per suffix of each block, by the digest of its first tokens."""
+    """lead, page_id, block, at, size (tokens), free (not guarded): one row per suffix of each block of all pages with an id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
         for b in batches:
-            out = []
-            for host, page, blocks in zip(b["host"], b["page_id"], b["blocks"]):
-                for k, text in enumerate(blocks):
-                    tokens = text.split()
-                    for at in range(max(1, len(tokens) - run_length + 1)):
-                        lead = " ".join(tokens[at : at + run_length]).encode("utf-8", "replace")
-                        out.append((host, page, k, at, len(tokens), hashlib.blake2b(lead, digest_size=16).digest()))
-            yield pd.DataFrame(out, columns=["host", "page_id", "block", "at", "size", "lead"])
+            found, keys = [], []
+            for host, page, html in zip(b["host"], b["page_id"], b["html"]):
+                start = hashes[b"\n" + host.encode("utf-8", "replace")]
+                for k, (text, guarded) in enumerate(blocks_of(html)):
+                    tokens = text.encode("utf-8", "replace").split()
+                    if tokens:
+                        found.append(leads(tokens, start, hashes, run_length))
+                        keys.append((page, k, len(tokens), not guarded))
+            if found:
+                counts = [len(x) for x in found]
+                page, block, size, free = (np.repeat(np.array(x), counts) for x in zip(*keys))
+                yield pd.DataFrame({
+                    "lead": np.concatenate(found), "page_id": page, "block": block, "at": np.concatenate([np.arange(n) for n in counts]), "size": size, "free": free,
+                })
 
-    return pages.select("host", "page_id", "blocks").mapInPandas(run, "host string, page_id long, block int, at int, size int, lead binary")
+    host, _ = host_path(F.col("url"))
+    named = pages.where("page_id IS NOT NULL").select("page_id", F.coalesce(host, F.lit("")).alias("host"), "html")
+    return named.mapInPandas(run, "lead long, page_id long, block int, at int, size int, free boolean")
 
 
-def boilerplate(pages: DataFrame, run_length: int = RUN) -> DataFrame:
-    """page_id, block: blocks of which repeated substrings of the host cover at least half."""
+def boilerplate(pages: DataFrame, run_length: int = RUN) -> DataFrame | None:
+    """page_id, block: blocks of which repeated substrings of the host cover at least half; None if nothing repeats outside guarded blocks."""
     rows = suffixes(pages, run_length)
-    repeated = rows.groupBy("host", "lead").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo < hi").select("host", "lead")
-    met = rows.join(repeated, ["host", "lead"])
+    repeated = rows.groupBy("lead").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.max("free").alias("free"))
+    repeated, n = cut_and_count(repeated.where("lo < hi AND free").select("lead"), F.lit(True))
+    if not n:
+        return None
+    met = rows.where("free").join(repeated, "lead")
     spans = met.groupBy("page_id", "block", "size").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     reach = F.aggregate(
         "ats", F.struct(F.lit(0).alias("total"), F.lit(0).alias("upto")),
@@ -200,12 +224,10 @@ def boilerplate(pages: DataFrame, run_length: int = RUN) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     pages = pages.select("page_id", "url", "html")
-    named = F.coalesce("html", F.lit("")).rlike(MAIN_TAG)
-    decided, rest = parsed(pages.where(named)).select("page_id", "url", "blocks"), parsed(pages.where(~named))
-    undecided = rest.where("page_id IS NOT NULL").select("page_id", "host", "blocks").distinct()
-    gone = boilerplate(undecided).groupBy("page_id").agg(F.collect_set("block").alias("gone"))
-    rest = rest.join(gone, "page_id", "left")
-    left = F.filter("blocks", lambda b, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    rest = rest.select("page_id", "url", F.when(F.size(left) > 0, left).otherwise(F.col("blocks")).alias("blocks"))
+    rest, found = parsed(pages), boilerplate(pages)
+    if found is not None:
+        gone = found.groupBy("page_id").agg(F.collect_set("block").alias("gone"))
+        left = F.filter("blocks", lambda b, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+        rest = rest.join(gone, "page_id", "left").select("page_id", "url", F.when(F.size(left) > 0, left).otherwise(F.col("blocks")).alias("blocks"))
     text = F.array_join("blocks", "\n")
-    return decided.unionByName(rest).select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    return rest.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))

@@ -199,6 +199,20 @@ def test_main_text(spark):
     assert got == {1: "A & B\nfirst part\nsecond é", 2: "", 3: "", 4: "unique words of the first page", 5: "other words here"}
 
 
+def test_main_text_searches_pages_with_main(spark):
+    menu = "<div>home about contact imprint terms jobs press more</div>"
+    open_page = f"<body><!-- <article --><div>{menu}</div><div>%s</div>"
+    rows = [
+        (1, "http://h/1", f"<main>{menu}<p>the same words stand here on both of these pages</p><div>first page</div></main>"),
+        (2, "http://h/2", f"<main>{menu}<p>the same words stand here on both of these pages</p><div>second page</div></main>"),
+        (3, "http://k/1", open_page % "one"), (4, "http://k/2", open_page % "two"), (5, "http://other/", f"<main>{menu}<div>alone</div></main>"),
+        (None, "http://h/1", f"<main>{menu}</main>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    same, line = "the same words stand here on both of these pages", "home about contact imprint terms jobs press more"
+    assert got == {1: f"{same}\nfirst page", 2: f"{same}\nsecond page", 3: "one", 4: "two", 5: f"{line}\nalone", None: line}
+
+
 def test_pieces_round_trip_and_n_best(spark, awkward):
     v = pieces.Vocabulary(pieces.load())
     for word in ("▁hello", "there,and", "▁▁x", "été", "\U0001f600"):
