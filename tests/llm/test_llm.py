@@ -66,6 +66,23 @@ def test_large_near_copy_group_is_one_component(spark):
     assert sorted(r["count"] for r in got) == [1] * 50 + [300]
 
 
+def test_copies_of_copies_in_a_large_group(spark):
+    rng = np.random.RandomState(5)
+    words = [f"b{i}" for i in range(250)]
+
+    def edited(text, name, places):
+        return [f"{name}_{p}" if p in places else w for p, w in enumerate(text)]
+
+    # a copy of a copy has a similarity of 0.91 to its parent, 0.82 to the first text and less to all others
+    rows, slots = [words], [set(4 * rng.choice(60, 4, replace=False)) for _ in range(300)]
+    rows += [edited(words, f"c{i}", slots[i]) for i in range(300)]
+    for i in range(60):
+        free = [p for p in range(0, 240, 4) if p not in slots[i]]
+        rows.append(edited(rows[1 + i], f"d{i}", set(rng.choice(free, 4, replace=False))))
+    got = near_duplicates.near_duplicates(docs_of(spark, [(i, " ".join(r)) for i, r in enumerate(rows)])).groupBy("component_id").count().collect()
+    assert [r["count"] for r in got] == [361]
+
+
 def test_decontamination_brute(spark, awkward):
     items = spark.createDataFrame([(1, " ".join(WORDS[10:30])), (2, "Two, words"), (3, ""), (4, None), (None, "one"), (5, " ".join(WORDS[10:30]))], "item_id long, text string")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
