@@ -48,24 +48,6 @@ NAME = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 DOT_NAME, AT_NAME, PLUS_NAME = "(?:dot|punkt|point|punto)", "(?:at|arroba|arobase)", "(?:plus|más)"
 OPEN, CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 
-OUTSIDE = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\xb6\xb8-\xff]")
-SIGNS = re.compile(rf"&#|&(?:commat|period);|\s@|@\s|{OPEN}(?:{AT_NAME}|{DOT_NAME}|[@.]){CLOSE}", re.IGNORECASE)
-DOT_WORDS = tuple(DOT_NAME[3:-1].split("|"))
-DOT_WORD = re.compile(rf"(?<![^\W_]){DOT_NAME}(?![^\W_])")
-THREE = re.compile(rf"(?<![^\W_]){NAME}[\s,.-]{{1,3}}{NAME}[\s,.-]{{1,3}}{NAME}(?![^\W_])")
-
-
-def marked(text: str) -> bool:
-    """Whether the text has any mark of a disguise."""
-    if OUTSIDE.search(text) or SIGNS.search(text):
-        return True
-    low = text.lower()
-    if any(w in low for w in DOT_WORDS) and DOT_WORD.search(low):
-        return True
-    words = low.replace(",", " ").replace(".", " ").replace("-", " ").split()
-    return not DIGITS.keys().isdisjoint(words) and THREE.search(low) is not None
-
-
 DOTS = re.compile(
     rf"\s{{0,3}}{OPEN}(?:{DOT_NAME}|\.){CLOSE}\s{{0,3}}|(?<=\w)\s{{1,3}}{DOT_NAME}\s{{1,3}}(?=\w)|(?<=\w)[_-]{DOT_NAME}[_-](?=\w)|&#46;|&#x2e;|&period;"
     r"|(?<=\w)\s\.\s?(?=[a-z0-9])", re.IGNORECASE,
@@ -79,6 +61,20 @@ SPELLED = re.compile(
 )
 TOKEN = re.compile(rf"{PLUS_NAME}|{NAME}|[0-9.]", re.IGNORECASE)
 
+#: Characters from U+0080 on that `plain_characters` may change; those of Latin-1 that it leaves are listed by trial.
+LATIN_1 = "".join(c for c in map(chr, range(0x80, 0x100)) if c not in LOOKALIKES and unicodedata.decimal(c, None) is None and not unicodedata.normalize("NFKC", c).isascii())
+CHANGED = re.compile(f"[^\\x00-\\x7f{re.escape(LATIN_1)}]")
+#: Without one of these, neither DOTS nor ATS matches.
+DOT_OR_AT = re.compile(rf"{DOT_NAME}|{AT_NAME}|[@&]|{OPEN}\.|\s\.", re.IGNORECASE)
+NAMES = re.compile(NAME, re.IGNORECASE)
+
+
+def marked(text: str) -> bool:
+    """Whether the transducers may change the text: it has a character they change or a match of their own patterns."""
+    if CHANGED.search(text) or DOT_OR_AT.search(text) and (DOTS.search(text) or any(m.group() != "@" for m in ATS.finditer(text))):
+        return True
+    return NAMES.search(text) is not None and any(len(NAMES.findall(m.group())) >= 3 for m in SPELLED.finditer(text))
+
 
 def luhn(digits: str) -> bool:
     total = 0

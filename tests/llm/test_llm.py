@@ -146,6 +146,16 @@ def test_personal_data_spans(spark):
     assert len(personal_data.find("1" * 200_000 + "a" * 200_000 + "@" * 1000)) == 0
 
 
+def test_personal_data_gate_skips_nothing(spark):
+    hidden = ["joe_at_example.com", "joe-at-example.com", "joe@example .com", "joe@example.com\u00b2 \u00b9.2.3.4", "+1 five 5 five one 2 three 4 five six 7", "joe_AT_example.com"]
+    texts = [*hidden, "joe at example_dot_com", "one, two. three", "one two 3", "a . b", "x & y", "plain \u00e9 text", "joe&#64;example&period;com", "IN\u0130T_at_x.org"]
+    for text in [*texts, *(r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())]:
+        tape = personal_data.plain_digits(personal_data.plain_marks(personal_data.plain_characters(text)))
+        assert personal_data.marked(text) or tape.text == text, text
+    got = {r["doc_id"]: r["n_disguised"] for r in personal_data.personal_data(docs_of(spark, list(enumerate(hidden)))).collect()}
+    assert all(got[i] for i in range(len(hidden))), got
+
+
 def test_language_accuracy_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
