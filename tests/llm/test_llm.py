@@ -83,6 +83,17 @@ def test_copies_of_copies_in_a_large_group(spark):
     assert [r["count"] for r in got] == [361]
 
 
+def test_one_of_each_takes_five_words_and_80_percent(spark):
+    assert [near_duplicates.least_agreement(85), near_duplicates.trees_for(85)] == [42, 10]
+    assert near_duplicates.least_agreement(80) < 42 and near_duplicates.trees_for(80) > 10
+    texts = []
+    for i in range(30):  # a fifth appended: similarity 0.83 on five words
+        words = [f"t{i}_{k}" for k in range(240)]
+        texts += [(2 * i, " ".join(words[:200])), (2 * i + 1, " ".join(words))]
+    kept = near_duplicates.one_of_each(docs_of(spark, texts), size=5, threshold=80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 60, 2))
+
+
 def test_decontamination_brute(spark, awkward):
     items = spark.createDataFrame([(1, " ".join(WORDS[10:30])), (2, "Two, words"), (3, ""), (4, None), (None, "one"), (5, " ".join(WORDS[10:30]))], "item_id long, text string")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
