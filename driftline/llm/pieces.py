@@ -12,6 +12,8 @@ The vocabulary file is read where the driver runs and its path is a parameter. N
 decoding returns the text exactly. A literal space mark is spelled in bytes. Of equal scores, the forward pass keeps the one whose last piece
 is longest, and the search those that reach the start first.
 
+The second and later segmentations are given by what they change in the ids of the best one (`changed_ids` applies it).
+
 Defined cases: a null text has null ids; an empty one has no ids, score 0 and one segmentation; repeated rows are treated alike.
 """
 
@@ -154,6 +156,10 @@ def units_of(text: str) -> list[str]:
     return [first, *units] if first else units
 
 
+#: Start and number of the ids of the best segmentation that go, and the ids that take their place.
+Edit = tuple[int, int, tuple[int, ...]]
+
+
 class Encoder:
     def __init__(self, v: Vocabulary, best: int = BEST):
         self.v, self.best = v, best
@@ -185,26 +191,43 @@ class Encoder:
             self.seen[u] = got
         return got
 
-    def encode(self, text: str) -> tuple[list[int], float, list[float]]:
-        """ids, score, and the scores of the n best segmentations."""
+    def encode(self, text: str) -> tuple[list[int], float, list[float], list[list[Edit]]]:
+        """ids, score, the scores of the n best segmentations, and what all but the best change in the ids."""
         units = units_of(text)
         counts = Counter(units)
         seen, parts = self.seen, self.parts
         known = {u: seen.get(u) or parts.get(u) or self.unit(u) for u in counts}
         ids = [k for u in units for k in known[u][0]]
         score = sum(known[u][1] * c for u, c in counts.items())
-        return ids, score, [score - d for d in self.losses(counts, known)]
-
-    def losses(self, counts: Counter, known: dict) -> list[float]:
-        """How much the n best texts lose against the best one. Only the n - 1 units with the cheapest second choice can differ in them."""
+        top = self.choices(counts, known)
+        places: dict[tuple[str, int], int] = {}
+        edits = [sorted((self.place(units, known, u, o, places), len(known[u][0]), new) for u, o, new in changes) for _, changes in top[1:]]
+        return ids, score, [score - d for d, _ in top], edits
+
+    @staticmethod
+    def place(units: list[str], known: dict, u: str, nth: int, places: dict[tuple[str, int], int]) -> int:
+        """Where the ids of the nth occurrence of a unit start."""
+        if (u, nth) not in places:
+            at = -1
+            for _ in range(nth + 1):
+                at = units.index(u, at + 1)
+            places[u, nth] = sum([len(known[w][0]) for w in units[:at]])
+        return places[u, nth]
+
+    def choices(self, counts: Counter, known: dict) -> list[tuple[float, tuple[tuple[str, int, tuple[int, ...]], ...]]]:
+        """What the n best texts lose against the best one, and the units they change: unit, occurrence, new ids. Only the n - 1 units
+        with the cheapest second choice can differ in them."""
         cheap = heapq.nsmallest(self.best - 1, ((known[u][2], u) for u in counts))
-        total = [0.0]
+        total: list = [(0.0, ())]
         for gap, u in cheap:
             if gap == float("inf"):
                 break
-            mine = [known[u][1] - s for s, _ in self.alternatives(u)]
-            for _ in range(min(counts[u], self.best - 1)):
-                total = heapq.nsmallest(self.best, (a + b for a in total for b in mine))
+            own, score, _ = known[u]
+            # of equal scores the search may take another first, so the best one is told by its ids
+            mine = [(max(0.0, score - s), new) for s, new in self.alternatives(u) if new != own][: self.best - 1]
+            for o in range(min(counts[u], self.best - 1)):
+                more = [(a + b, (*changes, (u, o, new))) for a, changes in total for b, new in mine]
+                total = heapq.nsmallest(self.best, [*total, *more])
         return total
 
     def alternatives(self, u: str) -> list[tuple[float, tuple[int, ...]]]:
@@ -225,6 +248,15 @@ def segmentations(text: str, v: Vocabulary, n: int = BEST) -> list[tuple[float,
     return [(-c, list(ids)) for c, ids in total]
 
 
+def changed_ids(ids: list[int], edits: list) -> list[int]:
+    """The ids of a further segmentation, from those of the best one and an element of `others`."""
+    out, last = [], 0
+    for start, count, new in edits:
+        out += [*ids[last:start], *new]
+        last = start + count
+    return out + ids[last:]
+
+
 def load(path: str = MODEL) -> list[tuple[str, float]]:
     import sentencepiece
 
@@ -244,11 +276,13 @@ def encoder(pieces: list[tuple[str, float]], best: int) -> Encoder:
     return _encoders[key]
 
 
-FIELDS = "ids array<int>, n_pieces long, score double, best_scores array<double>, exact boolean"
+FIELDS = "ids array<int>, n_pieces long, score double, best_scores array<double>, others array<array<struct<start:int,count:int,ids:array<int>>>>, exact boolean"
+OTHERS = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
 def encode(docs: DataFrame, path: str = MODEL, best: int = BEST, names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The named columns with ids, n_pieces, score, best_scores and exact (decoding returns the text)."""
+    """The named columns with ids, n_pieces, score, best_scores, others (what the second to n-th best segmentations change in ids)
+    and exact (decoding returns the text)."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), FIELDS])
 
@@ -257,27 +291,30 @@ def encode(docs: DataFrame, path: str = MODEL, best: int = BEST, names: tuple[st
         spelled = e.v.spelled
         for whole in batches:
             for b in (whole.slice(k, 512) for k in range(0, whole.num_rows, 512)):
-                flat, ends, scores, bests, exact = [], [0], [], [], []
+                flat, ends, scores, bests, others, exact = [], [0], [], [], [], []
                 texts = b.column("_text").to_pylist()
                 for text in texts:
                     if text is None:
                         ends.append(ends[-1])
                         scores.append(None)
                         bests.append(None)
+                        others.append(None)
                         exact.append(None)
                         continue
-                    ids, score, top = e.encode(text)
+                    ids, score, top, edits = e.encode(text)
                     exact.append(b"".join([spelled[i] for i in ids]) == text.encode("utf-8", "replace"))
                     flat.append(np.array(ids, np.int32))
                     ends.append(ends[-1] + len(ids))
                     scores.append(score)
                     bests.append(top)
+                    others.append(edits)
                 values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))
                 null = np.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32), mask=np.append(null, False)), values)
                 counts = pa.array(np.diff(ends), pa.int64(), mask=null)
-                columns = [b.column(n) for n in names] + [lists, counts, pa.array(scores, pa.float64()), pa.array(bests, pa.list_(pa.float64())), pa.array(exact, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "n_pieces", "score", "best_scores", "exact"])
+                columns = [b.column(n) for n in names] + [lists, counts, pa.array(scores, pa.float64()), pa.array(bests, pa.list_(pa.float64()))]
+                columns += [pa.array(others, OTHERS), pa.array(exact, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "n_pieces", "score", "best_scores", "others", "exact"])
 
     return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
 

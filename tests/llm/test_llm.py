@@ -271,6 +271,25 @@ def test_pieces_round_trip_and_n_best(spark, awkward):
             assert np.allclose(r["best_scores"], [s for s, _ in pieces.segmentations(r["text"], v)])
 
 
+def test_pieces_give_all_segmentations(spark, awkward):
+    v = pieces.Vocabulary(pieces.load())
+    names = {p: s for p, s in v.ids.values()}
+    costs = {**names, **{i: v.byte_score for i in v.bytes.values()}}
+    texts = docs_of(spark, [(20, "  a  ▁ b\n\n中文 "), (21, "the the the house of houses, the house"), (22, "a a"), (23, "")])
+    rows = pieces.encode(awkward.unionByName(texts), names=("doc_id", "text")).collect()
+    for r in rows:
+        if r["text"] is None:
+            assert r["others"] is None
+            continue
+        found = [r["ids"], *(pieces.changed_ids(r["ids"], o) for o in r["others"])]
+        assert len(found) == len(r["best_scores"]) == len({tuple(x) for x in found})
+        for ids, score in zip(found, r["best_scores"]):
+            assert b"".join(v.spelled[i] for i in ids) == r["text"].encode() and np.isclose(sum(costs[i] for i in ids), score)
+        if len(r["text"]) < 3000:
+            assert np.allclose(r["best_scores"], [s for s, _ in pieces.segmentations(r["text"], v)])
+    assert sum(len(r["others"] or ()) for r in rows) > 10
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
