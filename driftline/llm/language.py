@@ -5,7 +5,7 @@ marks at its ends, at the longest length that has any known n-gram. Word scores
 in every language says nothing; their sum over a text decides.
 
 The model is learned from a sample of about `SAMPLE_DOCS` documents for each value of `lang`, chosen by a hash of doc_id among those
-outside the held-out quarter, and holds at most `VOCABULARY` words and `GRAMS` n-grams; both bounds are parameters.
+outside the held-out quarter, and holds at most `VOCABULARY` words and `GRAMS` n-grams of each language; both bounds are parameters.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; without any labelled document every text is `und`; letters
 that the model has never seen give the languages equal scores, and the first in order wins; rows repeat as they come; a row
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import cut
@@ -49,19 +49,15 @@ def grams_of(word: str, n: int) -> list[str]:
 def sample(docs: DataFrame, per_lang: int) -> DataFrame:
     """About `per_lang` learnable documents of each language, by a hash of the id."""
     known = docs.where(remainder(F.col("doc_id")) != 2).where("lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not sizes:
-        return known.where("false")
     million = 1_000_000
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(million))
-    share = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, min(million, math.ceil(million * per_lang / n))).otherwise(share)
-    return known.where(place < share)
+    # one row a language
+    sizes = F.broadcast(known.groupBy("lang").agg(F.ceil(F.lit(million * per_lang) / F.count("*")).alias("share")))
+    return known.join(sizes, "lang").where(place < F.col("share")).select(docs.columns)
 
 
 def count_features(docs: DataFrame, vocabulary: int, grams: int) -> list[tuple[str, int, str, int]]:
-    """lang, length (0: word), feature, count: the most frequent features of the sample."""
+    """lang, length (0: word), feature, count: the most frequent words and n-grams of each language in the sample."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -76,8 +72,9 @@ def count_features(docs: DataFrame, vocabulary: int, grams: int) -> list[tuple[s
 
     rows = docs.where("text IS NOT NULL").select("lang", "text").mapInPandas(run, "lang string, len int, feature string, n long")
     total = cut(rows.groupBy("lang", "len", "feature").agg(F.sum("n").alias("n")))
-    order = [F.desc("n"), "feature", "lang", "len"]
-    best = total.where("len = 0").orderBy(*order).limit(vocabulary).unionByName(total.where("len > 0").orderBy(*order).limit(grams))
+    word = F.col("len") == 0
+    rank = F.row_number().over(Window.partitionBy("lang", word).orderBy(F.desc("n"), "feature", "len"))
+    best = total.withColumn("rank", rank).where(F.col("rank") <= F.when(word, vocabulary).otherwise(grams)).drop("rank")
     return [tuple(r) for r in best.collect()]
 
 
@@ -116,8 +113,9 @@ class Model:
 class Scores(dict):
     """Row numbers of words in a matrix of scores; emptied when full."""
 
-    def __init__(self, model: Model, size: int = 200_000):
+    def __init__(self, model: Model):
         super().__init__()
+        size = max(10_000, min(200_000, 2_000_000 // len(model.langs)))
         self.model, self.rows = model, np.zeros((size, len(model.langs)), np.float32)
 
     def __missing__(self, word: str) -> int:
@@ -173,6 +171,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that have a language, with all their columns."""
+    """The documents that have a language, with all their columns; where no model can be learned, those with letters."""
     names = docs.columns
-    return predict(docs, learn(docs)).where(F.col("lang_pred") != UNKNOWN).select(names)
+    model = learn(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(names)

@@ -176,6 +176,17 @@ def test_language_accuracy_and_edges(spark):
     assert language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_learns_every_label(spark):
+    rows = [(i, " ".join(f"{chr(97 + k)}{chr(97 + i % 26)}" for k in range(20)) + " zzz" * 50, "big") for i in range(200)]
+    rows += [(1000 + 40 * k + i, " ".join(["q" + chr(97 + k // 26) + chr(97 + k % 26)] * 3), f"l{k:03}") for k in range(210) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, vocabulary=5, grams=20)
+    labels = {r["lang"] for r in docs.where(language.remainder(F.col("doc_id")) != 2).select("lang").distinct().collect()}
+    assert len(labels) > 200 and set(model.langs) == labels
+    odd = docs_of(spark, [(1, "letters"), (2, "123 !"), (3, None), (4, "\u0434\u0430")]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] for r in language.keep_identified(odd).collect()) == [1, 4]
+
+
 def test_winnowing_brute(spark, awkward):
     got = winnowing.fingerprints(awkward, rows=3).collect()
     texts = sorted(((i, t or "") for i, t in AWKWARD if i is not None), key=lambda x: x[0])
