@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from driftline.functions import angles as A
 from driftline.operators import campaign as CP
+from driftline.sources.append_log import AppendLog, resume
+from driftline.streaming.jobs import work_folder
 
 from .consensus import CASE, IMG_ROLE, image_hits, role_sql
 from .registry import D, R, W, query
@@ -242,7 +244,10 @@ def _(t):
         F.when(k % 7 == 0, F.lit(0)).otherwise(k * 7).alias("seed"),
         (seeing + F.when(k % 5 == 0, F.lit(0.1)).otherwise(F.lit(0.0))).alias("seeing"),
     )
-    return CP.stale_cases(m, cache, "idx", ["resolution", "seed"], ["seeing"]).select("idx", "resolution", "seed")
+    log = AppendLog(t.spark, f"{work_folder(t.spark)}/cache")
+    log.append(cache)
+    todo = resume(m, log, "idx bigint, ok boolean, resolution string, seed bigint, seeing double", "idx", ["resolution", "seed"], ["seeing"])
+    return todo.select("idx", "resolution", "seed")
 
 
 @query(

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline.operators import logs as L
-from driftline.operators.tracks import lat_bin
+from driftline.operators import series as S
 from driftline.sources import readers as RD
 from driftline.sources import writers as WR
+from driftline.sources.append_log import AppendLog
+from driftline.streaming.jobs import work_folder
 
-from .campaigns import rounded
 from .registry import R, W, query
 from .scalars import c, order_times, out, _ORD_TS
+from .series_queries import _DRIFT
+from .track_queries import _WB, wind
 
 _K = "o_orderkey"
 _TXT = f"""(SELECT o_orderkey, ts, CASE o_orderkey%4 WHEN 0 THEN 'GRS' WHEN 1 THEN '' WHEN 2 THEN 'Oval BA' ELSE 'grs core' END AS obj, o_totalprice/1000.0e0 AS v FROM ({_ORD_TS}))"""
@@ -33,12 +36,25 @@ def observation_text(t):
     )
 
 
+def observation_files(t):
+    """The rows in three sets of files, one for each separator; the order number is the comment."""
+    folder = f"{work_folder(t.spark)}/observations"
+    rows = observation_text(t).withColumn("Comment", c(_K).cast("string"))
+    for n, sep in enumerate((",", ";", "\t")):
+        WR.write_observations(rows.where(c(_K) % 3 == n), folder, sep=sep, mode="append")
+    return folder
+
+
+def observations(t):
+    return RD.read_observations(t.spark, observation_files(t), ordered=False).withColumn(_K, c("Comment").cast("bigint"))
+
+
 _OBS = f"""ob AS (SELECT o_orderkey, obj AS Object, CASE WHEN o_orderkey%5=4 THEN epoch_us(date_trunc('day',ts)::TIMESTAMP) ELSE epoch_us(ts) END AS t_us, CASE WHEN o_orderkey%7<>0 THEN round(v,5) END AS L_II, CASE WHEN o_orderkey%9<>0 THEN -19.5e0 END AS Lat, CASE WHEN o_orderkey%6=0 THEN '' ELSE 'obs' END AS Observer FROM {_TXT} WHERE o_orderkey%5<>3)"""
 
 
 @query("s01_observations", f"WITH {_OBS} SELECT o_orderkey, Object, t_us, L_II, Lat FROM ob")
 def _(t):
-    return RD.typed_observations(observation_text(t)).select(_K, "Object", "t_us", "L_II", "Lat")
+    return observations(t).select(_K, "Object", "t_us", "L_II", "Lat")
 
 
 @query(
@@ -46,8 +62,7 @@ def _(t):
     f"WITH {_OBS} SELECT o_orderkey, t_us, {R(W('L_II'), 'lon')}, 1.0::DOUBLE AS sigma, CASE WHEN Observer='' THEN 'jupos' ELSE Observer END AS source FROM ob WHERE L_II IS NOT NULL AND (Object='' OR contains(lower(Object),'grs'))",
 )
 def _(t):
-    p = RD.drift_points(RD.typed_observations(observation_text(t)))
-    return out(p, [_K, "t_us", "sigma", "source"], lon=c("lon"))
+    return out(RD.drift_points(observations(t)), [_K, "t_us", "sigma", "source"], lon=c("lon"))
 
 
 @query(
@@ -57,12 +72,20 @@ def _(t):
 def _(t):
     k = c(_K)
     raw = order_times(t).select(
-        F.when(k % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("UTC"),
-        (F.datediff(c("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")) + 40587).cast("string").alias("MJD"),
-        F.when(k % 11 != 0, F.replace(F.format_string("%.7f", c("o_totalprice") / 2000.0), F.lit("."), F.lit(","))).alias("CM3"),
-        F.when(k % 3 != 0, F.lit("1,5")).alias("DE"), (k % 40).cast("string").alias("PA"), F.when(k % 4 != 0, F.lit("4.5")).otherwise(F.lit("")).alias("Delta"),
+        F.when(k % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("time"),
+        (F.datediff(c("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")) + 40587).cast("string").alias("mjd"),
+        F.when(k % 11 != 0, F.replace(F.format_string("%.7f", c("o_totalprice") / 2000.0), F.lit("."), F.lit(","))).alias("cm"),
+        F.when(k % 3 != 0, F.lit("1,5")).alias("de"), (k % 40).cast("string").alias("pa"), F.when(k % 4 != 0, F.lit("4.5")).otherwise(F.lit("")).alias("delta"), _K,
     )
-    return RD.typed_ephemeris(raw).withColumn("cm", F.round("cm", 6))
+    folder = f"{work_folder(t.spark)}/ephemerides"
+    spelled = [
+        (",", ["DateTime", "MJD", "CM", "DE", "PA", "Delta"]), (";", ["Epoch", "mjd", "CML III", "Sub_Lat", "North PA", "distance_au"]),
+        ("\t", ["Date", "MJD", "Longitude CM", "sublat", "P", "DELTA"]),
+    ]
+    for n, (sep, names) in enumerate(spelled):
+        rows = raw.where(k % 3 == n).select(*[c(x).alias(y) for x, y in zip(("time", "mjd", "cm", "de", "pa", "delta"), names)])
+        rows.write.csv(f"{folder}/{n}", sep=sep, header=True)
+    return RD.read_ephemeris(t.spark, folder).withColumn("cm", F.round("cm", 6))
 
 
 @query(
@@ -74,23 +97,30 @@ def _(t):
     k = c("job_id")
     s = F.call_function("div", k, F.lit(7))
     docs = t.jobs.select(
-        "job_id", s.alias("series_id"), F.when((k % 10 < 3) & (s % 3 != 0), F.lit("research")).otherwise(F.lit("vlbi")).alias("kind"),
+        c("job_id").cast("string").alias("epoch_id"), s.cast("string").alias("series_id"), F.when((k % 10 < 3) & (s % 3 != 0), F.lit("research")).otherwise(F.lit("vlbi")).alias("kind"),
         F.struct(c("manual_lon").alias("lon"), c("manual_lat").alias("lat")).alias("publish"),
         F.struct(c("pipe_lon").alias("lon"), c("lat").alias("lat"), F.when(k % 2 == 0, c("sig_lon")).alias("sigma")).alias("headline"),
         F.struct(F.lit(float("nan")).alias("lon_iii_deg"), F.lit(float("nan")).alias("lat_deg"), F.lit(float("nan")).alias("sigma_lon_deg")).alias("result"),
     )
-    return out(RD.epochs(docs), ["job_id", "series_id"], lon=c("lon"), lat=c("lat"), sigma=c("sigma"))
+    folder = f"{work_folder(t.spark)}/epochs"
+    docs.write.json(folder)
+    e = RD.read_epochs(t.spark, folder, lines=True)
+    return out(e, [c("epoch_id").cast("bigint").alias("job_id"), c("series_id").cast("bigint").alias("series_id")], lon=c("lon"), lat=c("lat"), sigma=c("sigma"))
 
 
 @query(
     "s05_last_per_case",
-    "SELECT l_partkey AS idx, l_orderkey, round(l_extendedprice,2) AS price FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC)=1",
+    "SELECT l_partkey AS idx, l_orderkey, round(l_extendedprice,2) AS price FROM lineitem WHERE l_orderkey%50<>7 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber%3 DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC)=1",
 )
 def _(t):
-    rows = t.lineitem.select(
-        c("l_partkey").alias("idx"), "l_orderkey", F.round("l_extendedprice", 2).alias("price"),
-        F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("line"))
-    return RD.latest_per_case(rows, "idx", "line").drop("line")
+    """Three segments of JSON lines, some of them broken; the last readable record of a case wins."""
+    log = AppendLog(t.spark, f"{work_folder(t.spark)}/cache")
+    line = F.to_json(F.struct(c("l_partkey").alias("idx"), "l_orderkey", F.round("l_extendedprice", 2).alias("price")))
+    broken = F.when(c("l_orderkey") % 50 == 7, F.substr(line, F.lit(1), F.lit(9))).otherwise(line)
+    for n in range(3):
+        rows = t.lineitem.where(c("l_linenumber") % 3 == n).orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+        log.append_lines(rows.select(broken.alias("value")))
+    return log.latest("idx", "idx bigint, l_orderkey bigint, price double")
 
 
 @query(
@@ -114,18 +144,33 @@ def _(t):
 )
 def _(t):
     line = F.when(c("ord") % 13 == 0, F.concat(F.lit("{broken "), c("ord").cast("string"))).otherwise(
-        F.to_json(F.struct("action", F.from_json("detail", "k bigint").alias("detail"))))
-    p = F.from_json(line, "action string, detail struct<k:bigint>, raw string", {"columnNameOfCorruptRecord": "raw", "mode": "PERMISSIVE"})
-    return t.usage.select("ord", p.alias("p")).select("ord", "p.action", "p.detail.k", "p.raw")
+        F.to_json(F.struct("action", c("ord").cast("double").alias("unix"), F.from_json("detail", "k bigint").alias("detail"))))
+    logs = [f"{work_folder(t.spark)}/{name}" for name in ("server", "desktop")]
+    for n, path in enumerate(logs):
+        t.usage.where(c("ord") % 2 == n).select(line.alias("value")).write.text(path)
+    u = RD.read_usage(t.spark, logs)
+    ord_ = F.coalesce(c("unix").cast("bigint"), F.regexp_extract("raw", r"(\d+)$", 1).cast("bigint"))
+    return u.select(ord_.alias("ord"), "action", F.get_json_object("detail", "$.k").cast("bigint").alias("k"), "raw")
+
+
+def package_files(t):
+    """Job packages as JSON lines: some give `time_utc`, some `utc_iso`, some no time."""
+    stamp = F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd HH:mm:ss")
+    folder, even = f"{work_folder(t.spark)}/packages", c("job_id") % 2 == 0
+    rows = t.jobs.join(export_input(t).select("job_id", "t_us", "lon_iii", c("lat").alias("b")), "job_id")
+    rows.select(
+        "job_id", F.when(even, stamp).alias("time_utc"), F.when(~even, F.concat(F.replace(stamp, F.lit(" "), F.lit("T")), F.lit("Z"))).alias("utc_iso"),
+        c("lon_iii").alias("lon_iii_deg"), c("b").alias("lat_deg"), F.when(c("job_id") % 3 == 0, c("definition")).alias("method"),
+        F.concat(F.lit("job "), c("job_id").cast("string")).alias("comment"),
+        F.struct("lon", "lat").alias("headline"), F.struct("cm_source", "limb").alias("publish"),
+    ).write.json(folder)
+    return folder
 
 
 @query("s08_job_packages", "SELECT job_id, round(lon,6) AS lon, round(lat,6) AS lat, cm_source FROM d_jobs")
 def _(t):
-    text = F.to_json(F.struct(
-        F.struct(c("lon").alias("lon"), c("lat").alias("lat")).alias("headline"), F.struct("cm_source", "limb").alias("publish")))
-    schema = "headline struct<lon:double,lat:double,width:double>, publish struct<cm_source:string,limb:double>, champion struct<ok:boolean>"
-    d = t.jobs.select("job_id", F.from_json(text, schema).alias("d"))
-    return d.select("job_id", F.round("d.headline.lon", 6).alias("lon"), F.round("d.headline.lat", 6).alias("lat"), "d.publish.cm_source")
+    d = RD.read_packages(t.spark, package_files(t))
+    return d.select("job_id", F.round("headline.lon", 6).alias("lon"), F.round("headline.lat", 6).alias("lat"), "publish.cm_source")
 
 
 @query(
@@ -153,31 +198,45 @@ def export_input(t):
     f"SELECT job_id, 'GRS' AS Object, strftime(ts,'%Y-%m-%d') AS Date, strftime(ts,'%H:%M:%S') AS Time, '' AS L_II, printf('%.3f',a) AS L_III, coalesce(printf('%.3f',b),'') AS Lat FROM {_MR} WHERE ts IS NOT NULL",
 )
 def _(t):
-    return WR.measurement_rows(export_input(t)).select("job_id", "Object", "Date", "Time", "L_II", "L_III", "Lat")
+    path = f"{work_folder(t.spark)}/measurements"
+    WR.write_observations(WR.measurement_rows(export_input(t).withColumn("Comment", c("job_id").cast("string"))), path)
+    cells = RD.observation_cells(t.spark, path)
+    return cells.select(c("Comment").cast("bigint").alias("job_id"), *[F.coalesce(x, F.lit("")).alias(x) for x in ("Object", "Date", "Time", "L_II", "L_III", "Lat")])
 
 
-@query("k02_package_export", f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE b IS NULL) AS n_blank_lat, min(strftime(ts,'%Y-%m-%d')) AS first_date FROM {_MR} WHERE ts IS NOT NULL")
+@query(
+    "k02_package_export",
+    f"""SELECT job_id, strftime(ts,'%Y-%m-%d') AS Date, strftime(ts,'%H:%M:%S') AS Time, printf('%.3f',a) AS L_III, coalesce(printf('%.3f',b),'') AS Lat,
+ CASE WHEN job_id%3=0 THEN definition ELSE 'GS-MAP' END AS Method, 'job '||job_id AS Comment FROM {_MR} JOIN (SELECT job_id, definition FROM d_jobs) USING (job_id) WHERE ts IS NOT NULL""",
+)
 def _(t):
-    m = WR.measurement_rows(export_input(t), {"Method": "GS-MAP"})
-    return m.agg(F.count("*").alias("n_rows"), F.count_if(c("Lat") == "").alias("n_blank_lat"), F.min("Date").alias("first_date"))
+    path = f"{work_folder(t.spark)}/export"
+    WR.export_packages(RD.read_packages(t.spark, package_files(t)), path, {"Method": "GS-MAP"})
+    cells = RD.observation_cells(t.spark, path)
+    return cells.select(
+        F.regexp_extract("Comment", r"(\d+)$", 1).cast("bigint").alias("job_id"), *[F.coalesce(x, F.lit("")).alias(x) for x in ("Date", "Time", "L_III", "Lat", "Method", "Comment")])
 
 
-@query(
-    "k03_drift_rows",
-    "SELECT series_id, ord, t_us, printf('%.4f',(ord%360)+0.12346e0) AS lon, (ord%19=0)::INTEGER AS clipped FROM d_series",
-)
+def kept_csv(t, df):
+    """The rows after a round through CSV files."""
+    path = f"{work_folder(t.spark)}/csv"
+    WR.write_csv(df, path)
+    return t.spark.read.schema(df.schema).csv(path, header=True, escape="\"", nullValue="")
+
+
+@query("k03_drift_rows", f"WITH {_DRIFT} SELECT series_id, ord, t_us, printf('%.4f',lon) AS lon, (NOT kept)::INTEGER AS clipped FROM q3")
 def _(t):
-    p = t.series.withColumns({"kept": c("ord") % 19 != 0, "lon": c("ord") % 360 + 0.12346})
-    return WR.drift_rows(p, ["series_id"])
+    _fits, points = S.fit_drift(t.steady, ["series_id"])
+    return kept_csv(t, WR.drift_rows(points, ["series_id"]))
 
 
 @query(
     "k04_profile_rows",
-    "SELECT capture_id, bin, CASE WHEN n>=2 THEN printf('%.4f',m+0.12345e0) ELSE '' END AS rate FROM (SELECT capture_id, least(floor(abs(ap_lat)/(90.0e0/11)),10)::INTEGER AS bin, count(*) AS n, avg(dx) AS m FROM d_tracks GROUP BY 1,2)",
+    f"""WITH {_WB} SELECT capture_id, bin, {", ".join(f"coalesce(printf('%.4f',{x}),'') AS {x}" for x in ("abs_lat", "rate", "rate_std", "resid", "resid_std"))}, n_tracks, n_frames FROM wb""",
 )
 def _(t):
-    b = t.tracks.groupBy("capture_id", lat_bin("ap_lat").alias("bin")).agg(F.count("*").alias("n"), F.avg("dx").alias("m"))
-    return WR.profile_rows(b.withColumn("rate", F.when(c("n") >= 2, c("m") + 0.12345)), ["capture_id"], ["rate"])
+    rows = WR.profile_rows(wind(t), ["capture_id"], ["abs_lat", "rate", "rate_std", "resid", "resid_std"], ["n_tracks", "n_frames"])
+    return kept_csv(t, rows).na.fill("")
 
 
 @query(
@@ -186,7 +245,7 @@ def _(t):
 )
 def _(t):
     a = t.jobs.select(c("job_id").alias("id"), F.round("lon", 4).alias("lon"), F.struct(c("cm_source").alias("source")).alias("meta"))
-    return WR.union_of_keys(a, t.series.select(c("ord").alias("id"), F.round("sigma", 4).alias("sigma")))
+    return kept_csv(t, WR.union_of_keys(a, t.series.select(c("ord").alias("id"), F.round("sigma", 4).alias("sigma"))))
 
 
 @query(
@@ -195,12 +254,27 @@ def _(t):
 )
 def _(t):
     g = t.jobs.groupBy("cm_source").agg(F.count("*").alias("n"), F.count_if("has_time").alias("n_ok"))
-    return g.withColumn("summary", F.to_json(F.struct("n", "n_ok")))
+    path = f"{work_folder(t.spark)}/batch"
+    WR.write_batch(g.withColumn("summary", F.to_json(F.struct("n", "n_ok"))), path)
+    rows, docs = t.spark.read.csv(f"{path}/csv", header=True, escape="\"", schema="cm_source string, n bigint, n_ok bigint, summary string"), t.spark.read.json(f"{path}/json")
+    return rows.join(docs.select("cm_source", "n", "n_ok"), ["cm_source", "n", "n_ok"])
+
 
+RESULT = "job_id bigint, definition string, n_in bigint"
 
-@query("k07_result_lines", """SELECT job_id, '{"job_id":'||job_id||',"definition":"'||definition||'","n_in":'||n_in||'}' AS line FROM d_jobs""")
+
+@query(
+    "k07_result_lines",
+    "SELECT job_id, definition, n_in + CASE WHEN job_id%2=0 THEN 100 ELSE 0 END AS n_in FROM d_jobs WHERE job_id%3<2 OR job_id%2=0",
+)
 def _(t):
-    return WR.json_lines(t.jobs.select("job_id", "definition", "n_in"), ["job_id"])
+    """Runs append their results; a repeated run changes nothing, a second look at a case replaces its record."""
+    log = AppendLog(t.spark, f"{work_folder(t.spark)}/results")
+    rows = t.jobs.select("job_id", "definition", "n_in")
+    for token, part in (("a", "job_id % 3 = 0"), ("b", "job_id % 3 = 1"), ("a", "job_id % 3 = 0")):
+        log.append(rows.where(part), token=token)
+    log.append(rows.where("job_id % 2 = 0").withColumn("n_in", c("n_in") + 100), token="c")
+    return log.latest("job_id", RESULT)
 
 
 @query(
@@ -210,6 +284,9 @@ def _(t):
 def _(t):
     head = t.good_hits.groupBy("case_id").agg(F.count("*").alias("n"))
     d = WR.report_documents(head, t.good_hits.select("case_id", "ord", "lat"), ["case_id"], "ord")
+    path = f"{work_folder(t.spark)}/reports"
+    d.write.json(path)
+    d = t.spark.read.schema(d.schema).json(path)
     text = F.transform("points", lambda p: F.concat_ws(":", p["ord"].cast("string"), F.round(p["lat"], 1).cast("string")))
     return d.select("case_id", "n", F.array_join(text, ",").alias("points"))
 

@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import skew
-
 from driftline.functions.angles import finite, wrap_deg
 from driftline.functions.parsing import decimal, parse_instant_us, parse_table_instant_us
 
+from ..operators import skew
+from . import append_log, table_source
+from .table_source import OBSERVATION_COLUMNS
+
 c = F.col
 
-# The fifteen observation columns in order.
-OBSERVATION_COLUMNS = [
-    "Object", "Date", "Time", "Observer", "Instrument", "Seeing", "L_I", "L_II", "L_III", "Lat", "Length", "Width",
-    "Method", "Ref", "Comment",
-]
 NUMERIC_COLUMNS = ["L_I", "L_II", "L_III", "Lat", "Length", "Width"]
 
 
+def checked_observations(raw: DataFrame) -> DataFrame:
+    """Text cells to numbers and `t_us`. `bad` names the cells that can't be read; without a date, `t_us` is NULL."""
+    known = [x for x in OBSERVATION_COLUMNS if x in raw.columns]
+    out = raw.withColumns({x: F.trim(F.coalesce(c(x), F.lit(""))) for x in known}).withColumn("t_us", parse_table_instant_us("Date", "Time"))
+    numbers = [x for x in NUMERIC_COLUMNS if x in known]
+    bad = F.array(F.when(c("t_us").isNull(), F.lit("Date")), *[F.when((c(x) != "") & decimal(x).isNull(), F.lit(x)) for x in numbers])
+    return out.withColumn("bad", F.array_compact(bad)).withColumns({x: decimal(x) for x in numbers})
+
+
 def typed_observations(raw: DataFrame) -> DataFrame:
-    """Text cells to numbers and `t_us`; rows without a readable date are dropped."""
-    cells = {x: F.trim(F.coalesce(c(x), F.lit(""))) for x in OBSERVATION_COLUMNS if x in raw.columns}
-    out = raw.withColumns(cells).withColumn("t_us", parse_table_instant_us("Date", "Time"))
-    return out.withColumns({x: decimal(x) for x in NUMERIC_COLUMNS if x in raw.columns}).where("t_us is not null")
+    """Rows with a readable date; an unreadable number is NULL."""
+    return checked_observations(raw).where("t_us is not null").drop("bad")
+
+
+def observation_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The text cells of observation files with their place; every file finds its own separator."""
+    table_source.register(spark)
+    return spark.read.format("observation_table").load(path)
+
 
+def read_observations(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
+    """Typed observations of a file, glob or folder; sorted by time unless a later step orders them anyway."""
+    obs = typed_observations(observation_cells(spark, path))
+    return obs.orderBy("t_us", "file", "block", "row") if ordered else obs
 
-def read_observations(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Observation CSV sorted by time. The separator is looked up in the first line unless given."""
-    schema = ", ".join(f"{x} string" for x in OBSERVATION_COLUMNS)
-    if sep is None:
-        first = spark.read.text(path).limit(1).first()
-        head = first[0] if first else ""
-        sep = max((",", ";", "\t"), key=head.count)
-    raw = spark.read.csv(path, schema=schema, sep=sep, header=True, enforceSchema=True)
-    return typed_observations(raw).orderBy("t_us")
+
+def rejected_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of observation files without a readable date, or with unreadable numbers, and why (`bad`)."""
+    return checked_observations(observation_cells(spark, path)).where(F.size("bad") > 0)
 
 
 def drift_points(obs: DataFrame, want: tuple[str, ...] = ("grs",)) -> DataFrame:
@@ -48,46 +58,25 @@ def drift_points(obs: DataFrame, want: tuple[str, ...] = ("grs",)) -> DataFrame:
     return keep.withColumns({"lon": wrap_deg("L_II"), "sigma": F.lit(1.0), "source": src})
 
 
-# Header spellings per ephemeris field.
-EPHEMERIS_ALIASES = {
-    "time": ["time", "date", "datetime", "utc", "t"],
-    "jd": ["jd", "julian", "julian_date"],
-    "mjd": ["mjd"],
-    "cm_iii": ["cm_iii", "cm3", "cm", "cml", "cm_iii_deg"],
-    "sub_lat": ["sub_lat", "de", "d_e", "sub_obs_lat"],
-    "np_pa": ["np_pa", "np", "north_pa", "pa"],
-    "distance_au": ["distance_au", "distance", "delta"],
-}
-
-
-def by_alias(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
-    """One text column per field from the first alias present, matched without case; absent fields are NULL."""
-    have = {x.strip().lower(): x for x in df.columns}
-    cols = []
-    for field, names in aliases.items():
-        hit = next((have[n] for n in names if n in have), None)
-        cols.append((c(f"`{hit}`").cast("string") if hit else F.lit(None).cast("string")).alias(field))
-    return df.select(*cols)
-
-
 def typed_ephemeris(raw: DataFrame) -> DataFrame:
-    r = by_alias(raw, EPHEMERIS_ALIASES)
+    """Rows with a time and a central meridian. Where a time is given it decides, else jd, else mjd."""
     day = F.lit(86_400_000_000.0)
     from_jd = F.round((decimal("jd") - 2440587.5) * day).cast("bigint")
     from_mjd = F.round((decimal("mjd") - 40587.0) * day).cast("bigint")
-    t = F.coalesce(parse_instant_us("time"), from_jd, from_mjd)
-    return r.select(
+    t = F.when(c("time").isNotNull(), parse_instant_us("time")).otherwise(F.coalesce(from_jd, from_mjd))
+    return raw.select(
         t.alias("t_us"), decimal("cm_iii").alias("cm"), F.coalesce(decimal("sub_lat"), F.lit(0.0)).alias("sub_lat"),
         F.coalesce(decimal("np_pa"), F.lit(0.0)).alias("np_pa"), decimal("distance_au").alias("distance_au"),
     ).where("t_us is not null and cm is not null")
 
 
-def read_ephemeris(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    raw = spark.read.json(path, multiLine=True) if path.endswith(".json") else spark.read.csv(path, header=True, sep=sep)
-    return typed_ephemeris(raw)
+def read_ephemeris(spark: SparkSession, path: str) -> DataFrame:
+    """Ephemeris files (delimited or JSON) with any of the known header spellings."""
+    table_source.register(spark)
+    return typed_ephemeris(spark.read.format("ephemeris_table").load(path))
 
 
-EPOCH_SCHEMA = """epoch_id string, t_utc string, kind string, headline struct<lon:double,lat:double,sigma:double>,
+EPOCH_SCHEMA = """series_id string, epoch_id string, t_utc string, kind string, headline struct<lon:double,lat:double,sigma:double>,
  publish struct<lon:double,lat:double>, result struct<lon_iii_deg:double,lat_deg:double,sigma_lon_deg:double>"""
 
 
@@ -107,10 +96,13 @@ def epochs(docs: DataFrame) -> DataFrame:
     return main.unionByName(extra)
 
 
-def read_epochs(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(
-        folder, schema=EPOCH_SCHEMA, multiLine=True)
-    return epochs(docs.withColumn("series_id", F.lit(folder)).withColumn("file", c("_metadata.file_path")))
+def read_epochs(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Epoch documents below a folder, one a file (or one a line). A document without a series belongs to that of its folder."""
+    docs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder, schema=EPOCH_SCHEMA, multiLine=not lines)
+    file = c("_metadata.file_path")
+    docs = docs.withColumns({"file": file, "series_id": F.coalesce("series_id", F.regexp_extract(file, r"([^/]+)/[^/]*$", 1))})
+    main = F.lower(F.regexp_extract("file", r"([^/]*)$", 1)).contains("research")
+    return epochs(docs.withColumn("kind", F.coalesce("kind", F.when(main, F.lit("research")).otherwise(F.lit("vlbi")))))
 
 
 def latest_per_case(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -119,10 +111,10 @@ def latest_per_case(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
 
 
-def read_campaign_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; bad lines are dropped, the last line per `idx` wins (file order by line position)."""
-    rows = spark.read.option("mode", "DROPMALFORMED").json(path, schema=schema)
-    return latest_per_case(rows.withColumn("_line", F.monotonically_increasing_id()), "idx", "_line").drop("_line")
+def read_campaign_cache(spark: SparkSession, path: str, schema: str, key: str = "idx") -> DataFrame:
+    """JSON lines; bad lines are dropped, the last line per case wins: by file name, then by place in the file."""
+    lines = append_log.placed(spark.read.text(path))
+    return append_log.last_records(append_log.readable(lines, schema), key)
 
 
 def capture_list(files: DataFrame, path: str, exts: tuple[str, ...]) -> DataFrame:
@@ -131,9 +123,10 @@ def capture_list(files: DataFrame, path: str, exts: tuple[str, ...]) -> DataFram
     return files.where(ext.isin([e.lower().lstrip(".") for e in exts])).select(path).distinct().orderBy(path)
 
 
-def discover_captures(spark: SparkSession, folder: str, exts: tuple[str, ...], recursive: bool = True) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
-    return capture_list(files.select("path", "length", "modificationTime"), "path", exts)
+def discover_captures(spark: SparkSession, paths: str | list[str], exts: tuple[str, ...], recursive: bool = True) -> DataFrame:
+    """Captures in folders, globs and single files, each once. File contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load([paths] if isinstance(paths, str) else paths)
+    return capture_list(files.select("path"), "path", exts)
 
 
 USAGE_SCHEMA = (
@@ -141,9 +134,19 @@ USAGE_SCHEMA = (
 )
 
 
-def read_usage(spark: SparkSession, path: str) -> DataFrame:
-    """Usage lines; an unreadable line keeps its text in `raw`."""
-    return spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw").json(path, schema=USAGE_SCHEMA)
+def read_usage(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Usage lines of one or several logs with their place; an unreadable line keeps its text in `raw`."""
+    rows = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw").json(path, schema=USAGE_SCHEMA)
+    return append_log.placed(rows)
+
+
+PACKAGE_SCHEMA = """job_id bigint, time_utc string, utc_iso string, lon_iii_deg double, lat_deg double, length_deg double, width_deg double, method string,
+ comment string, headline struct<lon:double,lat:double,width:double>, publish struct<cm_source:string,limb:double>, champion struct<ok:boolean>"""
+
+
+def read_packages(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Job packages under one superset schema; what a package lacks is NULL."""
+    return spark.read.schema(PACKAGE_SCHEMA).option("multiLine", not lines).json(path)
 
 
 def sampled_frames(frames: DataFrame, step: int, limit: int, factor: int, width: int) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.angles import as_col, finite
+from driftline.functions.parsing import parse_instant_us
 
-from .readers import OBSERVATION_COLUMNS
+from . import table_source
+from .table_source import OBSERVATION_COLUMNS
 
 c = F.col
 
@@ -34,8 +36,25 @@ def measurement_rows(df: DataFrame, defaults: dict[str, str] | None = None) -> D
     return df.where("t_us is not null").withColumns(cols)
 
 
-def write_observations(df: DataFrame, path: str) -> None:
-    df.select(*OBSERVATION_COLUMNS).write.mode("overwrite").csv(path, header=True, emptyValue="")
+def write_observations(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
+    """Observation files in one commit; other columns than the fifteen are left out."""
+    table_source.register(df.sparkSession)
+    cells = df.select(*[c(x) for x in OBSERVATION_COLUMNS if x in df.columns])
+    cells.write.format("observation_table").option("sep", sep).mode(mode).save(path)
+
+
+def package_rows(packages: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
+    """Published packages as measurement rows: `time_utc`, else `utc_iso`; packages without a time are skipped."""
+    text = {"Method": "GS-ORANGE", **(defaults or {})}
+    rows = packages.select(
+        "*", parse_instant_us(F.coalesce("time_utc", "utc_iso")).alias("t_us"), c("lon_iii_deg").alias("lon_iii"), c("lat_deg").alias("lat"),
+        c("length_deg").alias("length"), c("width_deg").alias("width"), c("method").alias("Method_"), c("comment").alias("Comment_"),
+    ).drop("method", "comment").withColumnsRenamed({"Method_": "Method", "Comment_": "Comment"})
+    return measurement_rows(rows, text)
+
+
+def export_packages(packages: DataFrame, path: str, defaults: dict[str, str] | None = None) -> None:
+    write_observations(package_rows(packages, defaults), path)
 
 
 def drift_rows(points: DataFrame, by: list[str]) -> DataFrame:
@@ -43,13 +62,19 @@ def drift_rows(points: DataFrame, by: list[str]) -> DataFrame:
     return points.select(*by, "ord", "t_us", degrees_text("lon", 4).alias("lon"), (~c("kept")).cast("int").alias("clipped"))
 
 
-def profile_rows(bins: DataFrame, by: list[str], numbers: list[str]) -> DataFrame:
-    """Profile bins as text, blank where a bin has no evidence."""
-    return bins.select(*by, "bin", *[degrees_text(n, 4).alias(n) for n in numbers])
+def profile_rows(bins: DataFrame, by: list[str], numbers: list[str], counts: list[str] = ()) -> DataFrame:
+    """Profile bins as text, blank where a bin has no evidence, and their counts."""
+    return bins.select(*by, "bin", *[degrees_text(n, 4).alias(n) for n in numbers], *counts)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+    df.write.mode("overwrite").csv(path, header=True, escape='"', nullValue="", emptyValue="")
+
+
+def write_batch(summary: DataFrame, path: str) -> None:
+    """A batch summary as JSON documents and as CSV."""
+    summary.write.mode("overwrite").json(f"{path}/json")
+    write_csv(summary, f"{path}/csv")
 
 
 def union_of_keys(*parts: DataFrame) -> DataFrame:
@@ -62,6 +87,7 @@ def union_of_keys(*parts: DataFrame) -> DataFrame:
 
 
 def append_lines(df: DataFrame, path: str) -> None:
+    """Plain appending; `append_log.AppendLog` keeps an order and takes a batch once."""
     df.write.mode("append").json(path)
 
 
