@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 c = F.col
 
@@ -91,39 +93,163 @@ def stack_from_accumulators(acc: DataFrame) -> DataFrame:
         F.greatest(c("s2") / c("n") - mean * mean, F.lit(0.0)).alias("var"))
 
 
-STATE = "t double, x double, v double, p00 double, p01 double, p11 double, n bigint"
-TRACKED = "series_id bigint, t_us bigint, pos double, rate double, sigma double, n bigint"
-
-
-def _track(key, batches, state):
-    """Forward position/rate filter. Points are applied in time order; those not after the last applied are dropped."""
-    rows = pd.concat(list(batches)).sort_values(["t_us", "ord"])
-    st = state.get if state.exists else None
-    out = []
-    for t_us, z, r in zip(rows["t_us"], rows["lon"], rows["sigma"]):
-        t, s = t_us / 86400e6, max(float(r), 1e-6)
-        if st is None:
-            x, v, a, b, d, n = float(z), 0.0, s * s + 0.1, 0.0, 1.0, 0
-        else:
-            t0, x, v, a, b, d, n = st
-            if t <= t0:
-                continue
-            h, q = max(t - t0, 1e-9), 1e-6 * max(float(r), 0.05) ** 2
-            x = x + h * v
-            a, b, d = a + 2 * h * b + h * h * d + q * h**3 / 3, b + h * d + q * h * h / 2, d + q * h
-        e = (float(z) - x + 180.0) % 360.0 - 180.0
-        g = a + s * s
-        k0, k1 = a / g, b / g
-        x, v = x + k0 * e, v + k1 * e
-        a, b, d = (1 - k0) * a, (1 - k0) * b, d - k1 * b
-        st = (t, x, v, a, b, d, n + 1)
-        out.append((key[0], int(t_us), x % 360.0, v, math.sqrt(max(a, 0.0)), n + 1))
-    if st is not None:
-        state.update(st)
-    yield pd.DataFrame(out, columns=["series_id", "t_us", "pos", "rate", "sigma", "n"])
-
-
-def online_track(points: DataFrame) -> DataFrame:
-    """State per series between batches; a batch holds as many rows of a series as its files do."""
-    return points.groupBy("series_id").applyInPandasWithState(
-        _track, TRACKED, STATE, "append", GroupStateTimeout.NoTimeout)
+RECORD = "resolution string, quality string, ok boolean, dlon double, dlat double"
+
+
+class LastRecord(StatefulProcessor):
+    """Keeps the last record of a case and says what changed: the old record goes out (sign -1), the new one comes in (+1).
+
+    A record counts if its order text is greater than that of the one held; equal or smaller ones change nothing, so files may come
+    in any order and more than once.
+    """
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("held", f"line string, {RECORD}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = ["line", *LAST_FIELDS]
+        best = None
+        for f in rows:
+            top = f.loc[f["line"].idxmax()]
+            if best is None or top["line"] > best[0]:
+                best = tuple(top[n] for n in names)
+        old = self.held.get() if self.held.exists() else None
+        if best is None or (old is not None and best[0] <= old[0]):
+            return
+        best = (best[0], best[1], best[2], bool(best[3]), float(best[4]), float(best[5]))
+        self.held.update(best)
+        out = [(key[0], 1, *best[1:])] + ([] if old is None else [(key[0], -1, *old[1:])])
+        yield pd.DataFrame(out, columns=["idx", "sign", *LAST_FIELDS])
+
+    def close(self) -> None:
+        pass
+
+
+LAST_FIELDS = ["resolution", "quality", "ok", "dlon", "dlat"]
+CHANGES = f"idx bigint, sign int, {RECORD}"
+
+
+def record_changes(rows: DataFrame) -> DataFrame:
+    """Signed changes of the last record per idx; columns idx, line (text that sorts as the records do) and the record's fields."""
+    return rows.groupBy("idx").transformWithStateInPandas(LastRecord(), CHANGES, "append", "none")
+
+
+def progress_of_changes(changes: DataFrame, cell: list[str]) -> DataFrame:
+    """Running counts and pass rates per cell; what goes out is taken off, so a corrected record counts once, where it is now."""
+    one = lambda x: F.sum(F.when(x, c("sign")).otherwise(0))
+    both = lambda x: (F.abs("dlon") <= x) & (F.abs("dlat") <= x) & c("ok")
+    return changes.groupBy(*cell).agg(F.sum("sign").alias("n"), one(c("ok")).alias("n_ok"), one(both(0.5)).alias("n_05"), one(both(1.0)).alias("n_10"))
+
+
+def campaign_stream(rows: DataFrame, cell: list[str], folder: str | None = None) -> DataFrame:
+    """Progress per cell after each batch: one job appends the changes of every batch to a folder, a second one sums them as they come.
+
+    Both resume from their checkpoints in `folder`; Spark's file sink takes a batch of changes once.
+    """
+    spark = rows.sparkSession
+    folder = folder or work_folder(spark)
+    with rocksdb(spark):
+        q = record_changes(rows).writeStream.format("parquet").option("checkpointLocation", f"{folder}/changes-cp").trigger(availableNow=True).start(f"{folder}/changes")
+        q.awaitTermination()
+    changes = spark.readStream.schema(CHANGES).parquet(f"{folder}/changes")
+    return run_available(progress_of_changes(changes, cell), "update", f"{folder}/progress")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that arbitrary state needs, for queries started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+FILTER = "t_us bigint, x double, v double, p00 double, p01 double, p11 double, n bigint"
+WAITING = "t_us bigint, ord bigint, lon double, sigma double"
+TRACKED = "series_id bigint, t_us bigint, ord bigint, status string, pos double, rate double, sigma double, n bigint"
+
+
+def filter_step(st: tuple | None, t_us: int, z: float, r: float) -> tuple:
+    """Position and rate after one more point; the state is (t_us, x, v, p00, p01, p11, n)."""
+    s = max(float(r), 1e-6)
+    if st is None:
+        x, v, a, b, d, n = float(z), 0.0, s * s + 0.1, 0.0, 1.0, 0
+    else:
+        t0, x, v, a, b, d, n = st
+        h, q = max((t_us - t0) / 86400e6, 1e-9), 1e-6 * max(float(r), 0.05) ** 2
+        x = x + h * v
+        a, b, d = a + 2 * h * b + h * h * d + q * h**3 / 3, b + h * d + q * h * h / 2, d + q * h
+    e = (float(z) - x + 180.0) % 360.0 - 180.0
+    g = a + s * s
+    k0, k1 = a / g, b / g
+    return t_us, x + k0 * e, v + k1 * e, (1 - k0) * a, (1 - k0) * b, d - k1 * b, n + 1
+
+
+class OnlineTrack(StatefulProcessor):
+    """Forward position/rate filter in event time.
+
+    Points wait in a list until the watermark has passed them and are then applied in the order of (t_us, ord). A timer stands at the earliest
+    point that waits. No point vanishes: one before the last applied is given out as `late`, one at the same time as `tied`,
+    one without a position or sigma as `blank`; they leave the state alone.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state, self.waiting = handle.getValueState("filter", FILTER), handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        aside, new = [], []
+        for f in rows:
+            for t, o, z, r in zip(f["t_us"], f["ord"], f["lon"], f["sigma"]):
+                if pd.isna(z) or pd.isna(r) or pd.isna(t):
+                    aside.append((key[0], None if pd.isna(t) else int(t), int(o), "blank", None, None, None, None))
+                else:
+                    new.append((int(t), int(o), float(z), float(r)))
+        if new:
+            self.waiting.appendList(new)
+        yield from self._advance(key, timerValues, aside)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, timerValues, [])
+
+    def _advance(self, key, timerValues, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ready = [r for r in rows if r[0] <= mark]
+        rest = rows[len(ready):]
+        if ready:
+            st = tuple(self.state.get()) if self.state.exists() else None
+            for t, o, z, r in ready:
+                if st is not None and t <= st[0]:
+                    out.append((key[0], t, o, "tied" if t == st[0] else "late", None, None, None, None))
+                    continue
+                st = filter_step(st, t, z, r)
+                out.append((key[0], t, o, "applied", st[1] % 360.0, st[2], math.sqrt(max(st[3], 0.0)), st[6]))
+            self.state.update(st)
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        if rest:
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        if out:
+            names = [x.split()[0] for x in TRACKED.split(", ")]
+            yield pd.DataFrame(out, columns=names).astype({"n": "Int64", "t_us": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def online_track(points: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Tracked points per series; columns series_id, t_us, ord, lon, sigma. `delay` is how late a point may come and still be applied."""
+    marked = points.withColumn("_at", F.timestamp_micros("t_us")).withWatermark("_at", delay)
+    # the time column itself stays behind: late rows have to reach the processor, which gives them out
+    rows = marked.select("series_id", "t_us", "ord", "lon", "sigma")
+    return rows.groupBy("series_id").transformWithStateInPandas(OnlineTrack(), TRACKED, "append", "eventTime")
+
+
+def run_track(points: DataFrame, delay: str, folder: str | None = None) -> DataFrame:
+    with rocksdb(points.sparkSession):
+        return run_available(online_track(points, delay), "append", folder)
