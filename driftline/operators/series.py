@@ -266,28 +266,92 @@ def crossings(df: DataFrame, by: list[str], rel: str, min_gap_us: int = 3_600_00
     return spaced(hit.select(*by, "ord", F.round("event_us").cast("bigint").alias("t_us")), by, min_gap_us)
 
 
-def spaced(events: DataFrame, by: list[str], min_gap_us: int) -> DataFrame:
+#: Spans whose summaries meet in one row, and blocks of them likewise.
+BLOCK_SPANS = 256
+
+
+def _first_beyond(xs: Column, i: Column, gap: int) -> Column:
+    """0-based index of the first element of a sorted time array more than a gap after element i; the size if there is none. By bisection."""
+    t = F.get(xs, i) + F.lit(gap)
+    bits = F.sequence(F.lit(1), F.ceil(F.log2(F.size(xs) + 1)).cast("int") + 1)
+
+    def halve(s: Column, _) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        beyond = F.get(xs, F.least(mid, F.size(xs) - 1)) > t
+        open_ = s["lo"] < s["hi"]
+        return F.struct(
+            F.when(open_ & ~beyond, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & beyond, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(bits, F.struct((i + 1).cast("int").alias("lo"), F.size(xs).alias("hi")), halve)["lo"]
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _last_of_chains(xs: Column, gap: int) -> Column:
+    """For each element of a sorted time array the last one of the chain that starts there, by pointer doubling."""
+    places = F.sequence(F.lit(0), F.size(xs) - 1)
+    step = F.transform(places, lambda i: _let(_first_beyond(xs, i, gap), lambda j: F.when(j < F.size(xs), j).otherwise(i.cast("int"))))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(xs) + 1)).cast("int") + 1)
+    ends = F.aggregate(rounds, step, lambda p, _: F.when(F.exists(p, lambda i: F.get(p, i) != i), F.transform(p, lambda i: F.get(p, i))).otherwise(p))
+    return F.transform(ends, lambda i: F.get(xs, i))
+
+
+def _through(s: Column, last: Column, gap: int) -> Column:
+    """The last kept time after a stretch of the line, from the last kept time before it (NULL: none yet).
+
+    A stretch is (at, end, rest): times at which a chain can enter, the last kept time of each, and that of a chain which enters after all of them.
+    """
+    j = F.when(last.isNull(), 0).otherwise(F.size(F.filter(s["at"], lambda t: t <= last + F.lit(gap))))
+    return F.when(j < F.size(s["at"]), F.get(s["end"], j)).otherwise(F.coalesce(s["rest"], last))
+
+
+def spaced(events: DataFrame, by: list[str], min_gap_us: int, span: int | None = None) -> DataFrame:
     """The first event of each key and then each event more than a gap after the last one kept.
 
-    An event more than a gap after the one before it is kept whatever came earlier, so the events of a key fall into
-    runs that don't depend on each other; only a run passes through one task, in order and without being held.
+    Events shuffle on (key, span). In a span every event points to the first one beyond the gap, and pointer doubling gives the last event of each
+    chain. A chain enters a span within a gap of its start or at the next event, so a span is summed up by few (entry, end)
+    pairs. Summaries combine in blocks of `BLOCK_SPANS`, the blocks of a key in order; the way back tells each span the last event
+    kept before it, and the span then finishes alone. However long a chain is, its spans are separate work.
     """
-    r = timeline(events, by).neighbour({"_p": "t_us"}).df
-    r = r.withColumn("_start", (F.col("_p").isNull() | (F.col("t_us") - F.col("_p") > min_gap_us)).cast("int")).drop("_p")
-    r = timeline(r, by).running_sum({"_run": "_start"}).df.drop("_start")
-    run = [*by, "_run"]
-
-    def keep(frames):
-        key, last = None, 0
-        for f in frames:
-            kept = []
-            for k, t in zip(f[run].astype(object).where(f[run].notna(), None).itertuples(index=False, name=None), f["t_us"]):
-                kept.append(k != key or t - last > min_gap_us)
-                if kept[-1]:
-                    key, last = k, t
-            yield f[kept]
-
-    return r.repartition(*run).sortWithinPartitions(*run, "t_us", "ord").mapInPandas(keep, r.schema).drop("_run")
+    gap, span = min_gap_us, max(span or DAY_US, min_gap_us)
+    none = F.lit(None).cast("bigint")
+    row = F.struct(F.col("t_us"), F.col("ord"), *[F.col(x) for x in events.columns if x not in ("t_us", "ord", *by)])
+    spans = events.where("t_us is not null").groupBy(*by, F.floor(F.col("t_us") / F.lit(span)).cast("bigint").alias("_ch")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    spans = cut(spans.withColumn("_xs", F.transform("_rows", lambda r: r["t_us"])))
+    near = F.size(F.filter("_xs", lambda t: t <= F.col("_ch") * span + gap)) + 1
+    entry = F.struct(F.slice("_xs", F.lit(1), near).alias("at"), F.slice(_last_of_chains(F.col("_xs"), gap), F.lit(1), near).alias("end"), none.alias("rest"))
+    stretch = spans.select(*by, "_ch", entry.alias("_s"))
+
+    def over(rest: Column, start: Column) -> Column:
+        return F.aggregate(rest, start, lambda last, x: _through(x["_s"], last, gap))
+
+    blocks = stretch.groupBy(*by, F.floor(F.col("_ch") / BLOCK_SPANS).cast("bigint").alias("_blk")).agg(F.array_sort(F.collect_list(F.struct("_ch", "_s"))).alias("_of"))
+    first, rest = F.get("_of", F.lit(0))["_s"], F.slice("_of", F.lit(2), F.greatest(F.size("_of") - 1, F.lit(0)))
+    whole = F.struct(first["at"].alias("at"), F.transform(first["end"], lambda e: over(rest, e)).alias("end"), over(rest, none).alias("rest"))
+    blocks = cut(blocks.withColumn("_s", whole))
+
+    def befores(parts: Column, start: Column) -> Column:
+        """The last kept time before each part."""
+        def step(s: Column, x: Column) -> Column:
+            return F.struct(_through(x["_s"], s["last"], gap).alias("last"), F.concat(s["all"], F.array(s["last"])).alias("all"))
+
+        return F.aggregate(parts, F.struct(start.alias("last"), F.array().cast("array<bigint>").alias("all")), step, lambda s: s["all"])
+
+    keys = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_blk", "_s"))).alias("_of"))
+    into = keys.select(*by, F.explode(F.arrays_zip(F.transform("_of", lambda x: x["_blk"]).alias("_blk"), befores(F.col("_of"), none).alias("_last"))).alias("_p"))
+    into = blocks.join(into.select(*by, "_p._blk", "_p._last"), [*by, "_blk"])
+    into = into.select(*by, F.explode(F.arrays_zip(F.transform("_of", lambda x: x["_ch"]).alias("_ch"), befores(F.col("_of"), F.col("_last")).alias("_last"))).alias("_p"))
+
+    def keep(s: Column, r: Column) -> Column:
+        fits = s["last"].isNull() | (r["t_us"] > s["last"] + F.lit(gap))
+        return F.when(fits, F.struct(r["t_us"].alias("last"), F.concat(s["kept"], F.array(r)).alias("kept"))).otherwise(s)
+
+    done = spans.join(into.select(*by, "_p._ch", "_p._last"), [*by, "_ch"])
+    empty = F.filter("_rows", lambda r: F.lit(False))
+    kept = F.aggregate("_rows", F.struct(F.col("_last").alias("last"), empty.alias("kept")), keep, lambda s: s["kept"])
+    return done.select(*by, F.explode(kept).alias("_r")).select(*by, "_r.*").select(*events.columns)
 
 
 def visible_windows(df: DataFrame, by: list[str], rel: str, limit: float) -> DataFrame:

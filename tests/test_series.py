@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.operators import series as S
 from driftline.operators import smoothing as SM
@@ -60,8 +61,10 @@ def plain_smoother(t, z, r, q_scale=1e-6):
     return xs[:, 0]
 
 
-@pytest.mark.parametrize("span_days", [9, 400])
-def test_smoother_equals_the_plain_recursion_for_any_span(spark, span_days):
+@pytest.mark.parametrize("span_days, leaf, block", [(9, 64, 256), (400, 64, 256), (400, 3, 4), (9, 1, 2)])
+def test_smoother_equals_the_plain_recursion_for_any_span(spark, span_days, leaf, block, monkeypatch):
+    monkeypatch.setattr(SM, "LEAF", leaf)
+    monkeypatch.setattr(SM, "BLOCK", block)
     rng = np.random.default_rng(5)
     t = np.sort(rng.uniform(0, 60, 50))
     z, r = 20 + 0.4 * t + rng.normal(0, 0.4, 50), 0.2 + rng.random(50) * 0.5
@@ -110,3 +113,34 @@ def test_gaps_are_measured_to_the_last_kept_event(spark):
     assert kept.columns == ["series_id", "t_us", "ord"]
     got = sorted((r.series_id, r.t_us // minute, r.ord) for r in kept.collect())
     assert got == [(1, 0, 0), (1, 80, 2), (1, 160, 4), (1, 400, 5), (1, 461, 7), (2, 7, 0), (2, 68, 3)]
+
+
+def spaced_brute(rows, gap):
+    out, last = [], {}
+    for k, t, o, x in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        if k not in last or t > last[k] + gap:
+            out.append((k, t, o, x))
+            last[k] = t
+    return sorted(out)
+
+
+def test_gap_rule_equals_the_loop(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    for block, n, top in ((256, 300, 10_000), (2, 400, 3_000), (3, 60, 1_000_000), (256, 1, 10)):
+        monkeypatch.setattr(S, "BLOCK_SPANS", block)
+        rows = [(f"k{rng.integers(3)}", int(rng.integers(-top, top)), i, f"x{i}") for i in range(n)]
+        df = spark.createDataFrame(rows, "k string, t_us long, ord long, note string")
+        for gap, span in ((60, 100), (60, 1), (7, 1000), (0, 50)):
+            got = sorted(tuple(r) for r in S.spaced(df, ["k"], gap, span).select("k", "t_us", "ord", "note").collect())
+            assert got == spaced_brute(rows, gap), (block, gap, span)
+    assert S.spaced(df.where("false"), ["k"], 60).count() == 0
+
+
+def test_a_chain_of_a_million_events_is_many_tasks(spark):
+    step = 40 * 60 * 10**6
+    events = spark.range(1_000_000).select(F.lit(1).alias("k"), (F.col("id") * step).alias("t_us"), F.col("id").alias("ord"))
+    kept = S.spaced(events, ["k"], 3_600_000_000)
+    r = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ord") % 2).alias("odd")).first()
+    assert (r.n, r.odd) == (500_000, 0)
+    plan = kept._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan
