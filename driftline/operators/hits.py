@@ -186,6 +186,18 @@ def definition_scatter(
     )
 
 
+def by_role(hits: DataFrame, case: list[str], role: str, weight: str, means: list[str]) -> DataFrame:
+    """One row per case and role, to which every hit of the role contributes.
+
+    `lon` is the weighted circular mean, lat and `means` are weighted means, `n_hits` counts the hits. Sums combine map-side.
+    """
+    w, a = F.col(weight), F.radians("lon")
+    return hits.groupBy(*case, role).agg(
+        wrap_deg(F.degrees(F.atan2(F.sum(w * F.sin(a)), F.sum(w * F.cos(a))))).alias("lon"),
+        *[(F.sum(w * F.col(x)) / F.sum(w)).alias(x) for x in ("lat", *means)], F.count(F.lit(1)).alias("n_hits"),
+    )
+
+
 # Estimator roles from most to least trusted.
 ROLES = ["gs_map", "gs_tmpl", "engine", "map_dark", "template", "moment"]
 

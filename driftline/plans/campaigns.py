@@ -9,7 +9,7 @@ from driftline.operators import campaign as CP
 from driftline.sources.append_log import AppendLog, resume
 from driftline.streaming.jobs import work_folder
 
-from .consensus import CASE, IMG_ROLE, image_hits, role_sql
+from .consensus import CASE, IMG_ROLE, image_hits, role_rows_sql
 from .registry import D, R, W, query
 from .scalars import c, out, sky_sql
 
@@ -136,7 +136,7 @@ def _(t):
 
 @query(
     "a30_failure_modes",
-    f"""WITH h AS (SELECT case_id, {role_sql(IMG_ROLE)} AS role, {D('lon', '(case_id%360)')} AS dlon, abs(lat+19.8e0) AS sky FROM d_good),
+    f"""WITH h AS (SELECT case_id, role, {D('lon', '(case_id%360)')} AS dlon, abs(lat+19.8e0) AS sky FROM {role_rows_sql(IMG_ROLE)}),
 b AS (SELECT * FROM h WHERE role IS NOT NULL), f AS (SELECT case_id, role AS best FROM b QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY sky, role)=1),
 p AS (SELECT case_id, max(dlon) FILTER (WHERE role='template') AS td, max(sky) FILTER (WHERE role='template') AS ts, max(dlon) FILTER (WHERE role='moment') AS md,
  max(sky) FILTER (WHERE role='moment') AS ms, max(sky) FILTER (WHERE role='redness') AS rs FROM b GROUP BY 1)

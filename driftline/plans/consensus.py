@@ -11,6 +11,7 @@ from driftline.operators import hits as H
 
 from .registry import D, R, W, query
 from .scalars import c, out, sky_sql
+from .tables import FAMILIES
 
 CASE = ["case_id"]
 LAT0 = A.FEATURE_LAT
@@ -172,8 +173,11 @@ def _(t):
     )
 
 
-ROLE_OF = {"click_0": "gs_map", "click_1": "gs_tmpl", "view_0": "engine", "view_1": "map_dark", "error_0": "template",
-           "signup_0": "moment"}
+METHODS = [f"{family}_{k}" for family in FAMILIES for k in range(4)]
+#: Every method has a role. Several hits of a role in a case count as one: their weighted mean.
+ROLE_OF = {m: H.ROLES[i % len(H.ROLES)] for i, m in enumerate(METHODS)}
+HALF = {m: "moment" if int(m[-1]) < 2 else "template" for m in METHODS}
+MEANS = ["score", "length", "width"]
 
 
 def with_role(df, mapping, name="role"):
@@ -181,11 +185,22 @@ def with_role(df, mapping, name="role"):
     return df.withColumn(name, F.try_element_at(m, c("method_id")))
 
 
+def role_rows(t, mapping):
+    """One row per case and role; rounded so that sums in another order give the same number."""
+    r = H.by_role(with_role(t.good_hits, mapping), CASE, "role", "weight", MEANS)
+    return r.withColumns({x: F.round(x, 9) for x in ("lon", "lat", *MEANS)})
+
+
+def role_rows_sql(mapping):
+    means = ", ".join(f"round(sum(weight*{x})/sum(weight),9) AS {x}" for x in ("lat", *MEANS))
+    return f"(SELECT case_id, role, round({cmean('lon', 'weight')},9) AS lon, {means}, count(*) AS n_hits FROM (SELECT *, {role_sql(mapping)} AS role FROM d_good) GROUP BY 1,2)"
+
+
 def role_sql(mapping):
     return "CASE method_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
 
 
-_CHAMP = f"""WITH b AS (SELECT *, {role_sql(ROLE_OF)} AS role, score AS dark, abs({D('lon', '((case_id*7)%360)')}) AS rel FROM d_good),
+_CHAMP = f"""WITH b AS (SELECT *, score AS dark, abs({D('lon', '((case_id*7)%360)')}) AS rel FROM {role_rows_sql(ROLE_OF)}),
 g AS (SELECT *, CASE role WHEN 'gs_map' THEN 0 WHEN 'gs_tmpl' THEN 1 WHEN 'engine' THEN 2 WHEN 'map_dark' THEN 3 WHEN 'template' THEN 4 ELSE 5 END AS rk,
  exp(-0.5*pow((lat+22.0)/4.5,2))*CASE WHEN rel>85 THEN 0.25 ELSE 1 END
  *CASE WHEN dark>0 THEN 1+least(1.5e0,dark) WHEN role IN ('gs_map','map_dark') THEN 0.85 ELSE 1 END
@@ -216,8 +231,7 @@ SELECT case_id, n_good, ni AS n_in, dual_lock, CASE WHEN dual_lock THEN 'gs_map'
 
 @query("a13_champion_centre", _CHAMP)
 def _(t):
-    df = with_role(t.good_hits, ROLE_OF)
-    df = H.champion_centre(df, CASE, "role", "score", (c("case_id") * 7) % 360)
+    df = H.champion_centre(role_rows(t, ROLE_OF), CASE, "role", "score", (c("case_id") * 7) % 360)
     keys = ["case_id", "n_good", "n_in", "dual_lock", "role"]
     return out(df, keys, **{k: c(k) for k in ("lon", "lat", "sigma_lon", "sigma_lat")})
 
@@ -242,8 +256,8 @@ def _(t):
     return out(df, keys, **{k: c(k) for k in ("disp_lon", "disp_lat", "agreement", "confidence")})
 
 
-_SIZES = """(SELECT case_id, max(CASE WHEN method_id='click_0' THEN length*2.2e0-4 END) AS ml, max(CASE WHEN method_id='click_0' THEN width*1.7e0 END) AS mw,
- max(CASE WHEN method_id='click_0' THEN lat END) AS mlat, max(CASE WHEN method_id='view_0' THEN length*1.5e0 END) AS tl, max(CASE WHEN method_id='view_0' THEN width*1.4e0 END) AS tw FROM d_good GROUP BY 1)"""
+_SIZES = f"""(SELECT case_id, max(CASE WHEN role='moment' THEN length*2.2e0-4 END) AS ml, max(CASE WHEN role='moment' THEN width*1.7e0 END) AS mw,
+ max(CASE WHEN role='moment' THEN lat END) AS mlat, max(CASE WHEN role='template' THEN length*1.5e0 END) AS tl, max(CASE WHEN role='template' THEN width*1.4e0 END) AS tw FROM {role_rows_sql(HALF)} GROUP BY 1)"""
 
 
 @query(
@@ -254,11 +268,11 @@ _SIZES = """(SELECT case_id, max(CASE WHEN method_id='click_0' THEN length*2.2e0
  WHEN tl BETWEEN 5 AND 22 AND tw BETWEEN 3 AND 14 THEN 1 ELSE 0 END AS src FROM {_SIZES})""",
 )
 def _(t):
-    pick = lambda m, x: F.max(F.when(c("method_id") == m, x))
-    wide = t.good_hits.groupBy("case_id").agg(
-        pick("click_0", c("length") * 2.2 - 4).alias("ml"), pick("click_0", c("width") * 1.7).alias("mw"),
-        pick("click_0", c("lat")).alias("mlat"), pick("view_0", c("length") * 1.5).alias("tl"),
-        pick("view_0", c("width") * 1.4).alias("tw"),
+    pick = lambda m, x: F.max(F.when(c("role") == m, x))
+    wide = role_rows(t, HALF).groupBy("case_id").agg(
+        pick("moment", c("length") * 2.2 - 4).alias("ml"), pick("moment", c("width") * 1.7).alias("mw"),
+        pick("moment", c("lat")).alias("mlat"), pick("template", c("length") * 1.5).alias("tl"),
+        pick("template", c("width") * 1.4).alias("tw"),
     )
     return out(H.size_choice(wide, CASE), ["case_id", "size_source"], length=c("length"), width=c("width"))
 
@@ -288,16 +302,16 @@ def _(t):
     return out(df, ["case_id", "n_probes", "n_stable"], **{k: c(k) for k in names})
 
 
-IMG_ROLE = {"click_0": "template", "click_1": "moment", "view_0": "map_dark", "view_1": "redness"}
+IMG_ROLE = {m: ("template", "moment", "map_dark", "redness")[int(m[-1])] for m in METHODS}
 
 
 def image_hits(t):
-    df = with_role(t.good_hits, IMG_ROLE).where("role is not null")
+    df = role_rows(t, IMG_ROLE)
     return df.withColumns({"contrast": c("score") * 0.1, "length": c("length") * 1.6})
 
 
 _T6, _T14 = f"BETWEEN {LAT0 - 6.0} AND {LAT0 + 6.0}", f"BETWEEN {LAT0 - 14.0} AND {LAT0 + 10.0}"
-_IMG = f"""WITH h AS (SELECT case_id, {role_sql(IMG_ROLE)} AS role, lon, lat, score, score*0.1e0 AS contrast, length*1.6e0 AS length, width FROM d_good),
+_IMG = f"""WITH h AS (SELECT case_id, role, lon, lat, score, score*0.1e0 AS contrast, length*1.6e0 AS length, width, n_hits FROM {role_rows_sql(IMG_ROLE)}),
 s AS (SELECT *, CASE role WHEN 'template' THEN 2.6e0 WHEN 'moment' THEN 2.6e0 WHEN 'map_dark' THEN 2.5e0 ELSE 2.4e0 END AS w,
  CASE role WHEN 'template' THEN 0 WHEN 'moment' THEN 1 WHEN 'map_dark' THEN 2 ELSE 3 END AS rk FROM h WHERE role IS NOT NULL AND lat {_T14}),
 cl AS (SELECT a.case_id, a.rk, count(*) AS k, {cmean('b.lon')} AS ml FROM s a JOIN s b ON a.case_id=b.case_id AND a.rk<3 AND b.rk<3 AND a.lat {_T6} AND b.lat {_T6}
@@ -340,11 +354,15 @@ fin AS (SELECT z.*, CASE WHEN nk>=2 THEN el ELSE 0.5e0 END AS rms_lon, CASE WHEN
 
 @query(
     "a14_image_consensus",
-    _IMG + f"""SELECT case_id, n::INTEGER AS n_methods, nk::INTEGER AS n_kept, dt AS dark_tight, {R('seed', 'seed_lon')}, path, {R('lon2', 'lon')}, {R('lat2', 'lat')} FROM fin""",
+    _IMG + f"""SELECT case_id, n_hits, coalesce(n,0)::INTEGER AS n_methods, coalesce(nk,0)::INTEGER AS n_kept, dt AS dark_tight, {R('seed', 'seed_lon')}, path, {R('lon2', 'lon')}, {R('lat2', 'lat')}
+ FROM (SELECT case_id, sum(n_hits)::BIGINT AS n_hits FROM h GROUP BY 1) LEFT JOIN fin USING (case_id)""",
 )
 def _(t):
-    df = H.image_consensus(image_hits(t), CASE, "role")
-    keys = ["case_id", "n_methods", "n_kept", "dark_tight", "seed_lon", "path"]
+    """Every case with hits has a row; one without a sane role has no position."""
+    rows = image_hits(t)
+    df = rows.groupBy("case_id").agg(F.sum("n_hits").alias("n_hits")).join(H.image_consensus(rows, CASE, "role"), "case_id", "left")
+    none = lambda x: F.coalesce(c(x), F.lit(0)).cast("int").alias(x)
+    keys = ["case_id", "n_hits", none("n_methods"), none("n_kept"), "dark_tight", F.round("seed_lon", 6).alias("seed_lon"), "path"]
     return out(df, keys, lon=c("consensus_lon"), lat=c("consensus_lat"))
 
 

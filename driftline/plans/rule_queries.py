@@ -11,7 +11,7 @@ from driftline.operators import rules as RU
 from driftline.operators import skew
 
 from .campaigns import rounded
-from .consensus import CASE, cmean
+from .consensus import CASE, HALF, cmean, role_rows, role_rows_sql
 from .registry import D, R, W, query
 from .scalars import c, out, sky_sql
 
@@ -106,12 +106,13 @@ def _(t):
 
 @query(
     "j08_probe_pairs",
-    f"""WITH o AS (SELECT case_id, lon, lat, length FROM d_good WHERE method_id='click_0'), i AS (SELECT case_id, lon AS il, lat AS ia, length AS ir FROM d_good WHERE method_id='view_1')
+    f"""WITH b AS (SELECT * FROM {role_rows_sql(HALF)}), o AS (SELECT * FROM b WHERE role='moment'), i AS (SELECT case_id, lon AS il, lat AS ia, length AS ir FROM b WHERE role='template')
 SELECT case_id, {R(D('lon', 'il'), 'dlon')}, {R('lat-ia', 'dlat')}, {R(sky_sql(D('lon', 'il'), '(lat-ia)', 'ia', '5.2e0'), 'sky')}, {R('length-ir', 'radius_delta')} FROM o JOIN i USING (case_id)""",
 )
 def _(t):
-    role = lambda m, **names: t.good_hits.where(c("method_id") == m).select("case_id", *[c(k).alias(v) for k, v in names.items()])
-    p = role("click_0", lon="ol", lat="oa", length="orad").join(role("view_1", lon="il", lat="ia", length="irad"), "case_id")
+    probes = role_rows(t, HALF)  # the outer and the inner half of the methods
+    role = lambda m, **names: probes.where(c("role") == m).select("case_id", *[c(k).alias(v) for k, v in names.items()])
+    p = role("moment", lon="ol", lat="oa", length="orad").join(role("template", lon="il", lat="ia", length="irad"), "case_id")
     d = RU.pair_difference("ol", "oa", "il", "ia", 5.2)
     return out(p, CASE, dlon=d["dlon"], dlat=d["dlat"], sky=d["sky"], radius_delta=c("orad") - c("irad"))
 
