@@ -4,9 +4,9 @@ A text's lattice has a node at each character border and an edge for each piece
 spells, its bytes. A forward Viterbi pass gives every node the best score from the start; a backward A* search from the end uses
 these scores as exact estimates of what is left, so it takes paths off its agenda in order of their full score.
 
-No piece reaches over a space mark that isn't at its front, so the lattice falls into units, and a text's segmentations are
-combinations of its units'. The forward pass, which also keeps the second-best score, runs once for each distinct part of a unit; the search
-runs only for the few units whose second choice costs least, which are all that n-best texts can need.
+Between two neighbours that stand together in no piece the lattice always has a border, so it falls into parts, and a text's segmentations are
+combinations of its parts'. The forward pass, which also keeps the second-best score, runs once for each distinct part; the search
+runs only for the few parts whose second choice costs least, which are all that n-best texts can need.
 
 The vocabulary file is read where the driver runs and its path is a parameter. Nothing is normalised and no mark is put in front, so
 decoding returns the text exactly. A literal space mark is spelled in bytes. Of equal scores, the forward pass keeps the one whose last piece
@@ -19,10 +19,12 @@ Defined cases: a null text has null ids; an empty one has no ids, score 0 and on
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,8 +37,8 @@ BEST = 3
 SPACE, LITERAL = "▁", "\udc81"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Parts and whole units that a worker remembers.
-PARTS, UNITS = 300_000, 100_000
+#: Parts that a worker remembers, and parts with all their choices.
+PARTS, CHOICES = 400_000, 25_000
 
 
 class Vocabulary:
@@ -52,6 +54,10 @@ class Vocabulary:
         self.steps = self.grow()
         #: pairs of neighbours inside pieces; between other characters the lattice always has a border
         self.joints = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        pairs = sorted({ord(p[0]) << 32 | ord(p[1]) for p in (j.replace(SPACE, " ") for j in self.joints)})
+        #: the joints by code points: a table for Latin letters and the space mark, a sorted list for all
+        self.table, self.pairs = np.zeros(1 << 16, bool), np.array(pairs, np.uint64)
+        self.table[[p >> 24 | p & 255 for p in pairs if p >> 32 < 256 and p & 0xFFFFFFFF < 256]] = True
         self.byte_score = min((s for _, s in self.ids.values() if s > -1e8), default=0.0) - 10.0
         spelled = {i: bytes([b]) for b, i in self.bytes.items()}
         self.spelled = [spelled.get(i, p.replace(SPACE, " ").encode() if p not in special else b"") for i, (p, _) in enumerate(pieces)]
@@ -67,6 +73,27 @@ class Vocabulary:
         raw = (SPACE if char == LITERAL else char).encode("utf-8", "replace")
         return tuple(self.bytes[b] for b in raw), self.byte_score * len(raw)
 
+    def parts(self, text: str) -> list[str]:
+        """The text, with space marks, between neighbours that no piece joins. Its segmentations are combinations of its parts'."""
+        if SPACE in text:
+            text = text.replace(SPACE, LITERAL)
+        a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(a):
+            return []
+        x, y = a[:-1], a[1:]
+        low = (x | y) < 256
+        if low.all():
+            joined = self.table[x << 8 | y]
+        else:
+            joined = np.zeros(len(x), bool)
+            joined[low] = self.table[x[low] << 8 | y[low]]
+            wide = x[~low].astype(np.uint64) << np.uint64(32) | y[~low]
+            at = np.minimum(np.searchsorted(self.pairs, wide), len(self.pairs) - 1)
+            joined[~low] = self.pairs[at] == wide if len(self.pairs) else False
+        text = text.replace(" ", SPACE)
+        ends = (np.flatnonzero(~joined) + 1).tolist()
+        return [text[i:j] for i, j in zip([0, *ends], [*ends, len(text)])]
+
     def edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each border, the edges that end there: start, ids, score."""
         n, begin, out = len(unit), self.begin, [[] for _ in range(len(unit) + 1)]
@@ -88,10 +115,12 @@ def best_two(unit: str, v: Vocabulary) -> tuple[tuple[int, ...], float, float]:
     low = float("-inf")
     first, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
     first[0] = 0.0
+    steps = v.steps
     for i in range(n):
-        f, s, step = first[i], second[i], v.steps
-        for j in range(i + 1, n + 1):
-            got = step.get(unit[j - 1])
+        f, s, step, j = first[i], second[i], steps, i
+        for char in unit[i:]:
+            j += 1
+            got = step.get(char)
             if got is not None:
                 edge, score, step = got
             elif j == i + 1:
@@ -101,7 +130,7 @@ def best_two(unit: str, v: Vocabulary) -> tuple[tuple[int, ...], float, float]:
             if edge is None:
                 if j > i + 1:
                     continue
-                edge, score = v.spell(unit[i])
+                edge, score = v.spell(char)
             x = f + score
             if x > first[j]:
                 y = s + score
@@ -156,6 +185,7 @@ def units_of(text: str) -> list[str]:
     return [first, *units] if first else units
 
 
+Known = tuple[bytes, float, float, bool]
 #: Start and number of the ids of the best segmentation that go, and the ids that take their place.
 Edit = tuple[int, int, tuple[int, ...]]
 
@@ -163,46 +193,37 @@ Edit = tuple[int, int, tuple[int, ...]]
 class Encoder:
     def __init__(self, v: Vocabulary, best: int = BEST):
         self.v, self.best = v, best
-        self.seen: dict[str, tuple[tuple[int, ...], float, float]] = {}
-        self.parts: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        #: of parts: ids (4 bytes each), score, loss of the second choice, and whether the ids spell the source
+        self.seen: dict[str, Known] = {}
         self.more: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
-    def part(self, p: str) -> tuple[tuple[int, ...], float, float]:
-        got = self.parts.get(p)
-        if got is None:
-            got = best_two(p, self.v)
-            if len(p) <= 64:
-                if len(self.parts) >= PARTS:
-                    self.parts.clear()
-                self.parts[p] = got
-        return got
+    def spells(self, ids: Iterable[int], text: str) -> bool:
+        spelled = self.v.spelled
+        return b"".join([spelled[i] for i in ids]) == text.encode("utf-8", "replace")
 
-    def unit(self, u: str) -> tuple[tuple[int, ...], float, float]:
-        """The unit's parts between sure borders, put together."""
-        joints = self.v.joints
-        cuts = [k for k in range(1, len(u)) if u[k - 1 : k + 1] not in joints]
-        if not cuts:
-            return self.part(u)
-        found = [self.part(u[a:b]) for a, b in zip([0, *cuts], [*cuts, len(u)])]
-        got = (tuple([i for f in found for i in f[0]]), sum(f[1] for f in found), min(f[2] for f in found))
-        if len(u) <= 64:
-            if len(self.seen) >= UNITS:
+    def part(self, p: str) -> Known:
+        ids, score, gap = best_two(p, self.v)
+        got = array("i", ids).tobytes(), score, gap, self.spells(ids, p.replace(SPACE, " ").replace(LITERAL, SPACE))
+        if len(p) <= 64:
+            if len(self.seen) >= PARTS:
                 self.seen.clear()
-            self.seen[u] = got
+            self.seen[p] = got
         return got
 
-    def encode(self, text: str) -> tuple[list[int], float, list[float], list[list[Edit]]]:
-        """ids, score, the scores of the n best segmentations, and what all but the best change in the ids."""
-        units = units_of(text)
+    def encode(self, text: str) -> tuple[np.ndarray, float, list[float], list[list[Edit]], bool]:
+        """ids, score, the scores of the n best segmentations, what all but the best change in the ids, and whether the ids spell the text."""
+        units = self.v.parts(text)
         counts = Counter(units)
-        seen, parts = self.seen, self.parts
-        known = {u: seen.get(u) or parts.get(u) or self.unit(u) for u in counts}
-        ids = [k for u in units for k in known[u][0]]
+        seen = self.seen
+        known = {u: seen.get(u) or self.part(u) for u in counts}
+        ids = np.frombuffer(b"".join([known[u][0] for u in units]), np.int32)
+        # a text is spelled if all its units are
+        exact = all([k[3] for k in known.values()]) or self.spells(ids, text)
         score = sum(known[u][1] * c for u, c in counts.items())
         top = self.choices(counts, known)
         places: dict[tuple[str, int], int] = {}
-        edits = [sorted((self.place(units, known, u, o, places), len(known[u][0]), new) for u, o, new in changes) for _, changes in top[1:]]
-        return ids, score, [score - d for d, _ in top], edits
+        edits = [sorted((self.place(units, known, u, o, places), len(known[u][0]) // 4, new) for u, o, new in changes) for _, changes in top[1:]]
+        return ids, score, [score - d for d, _ in top], edits, exact
 
     @staticmethod
     def place(units: list[str], known: dict, u: str, nth: int, places: dict[tuple[str, int], int]) -> int:
@@ -211,7 +232,7 @@ class Encoder:
             at = -1
             for _ in range(nth + 1):
                 at = units.index(u, at + 1)
-            places[u, nth] = sum([len(known[w][0]) for w in units[:at]])
+            places[u, nth] = sum([len(known[w][0]) for w in units[:at]]) // 4
         return places[u, nth]
 
     def choices(self, counts: Counter, known: dict) -> list[tuple[float, tuple[tuple[str, int, tuple[int, ...]], ...]]]:
@@ -222,7 +243,7 @@ class Encoder:
         for gap, u in cheap:
             if gap == float("inf"):
                 break
-            own, score, _ = known[u]
+            own, score = tuple(memoryview(known[u][0]).cast("i")), known[u][1]
             # of equal scores the search may take another first, so the best one is told by its ids
             mine = [(max(0.0, score - s), new) for s, new in self.alternatives(u) if new != own][: self.best - 1]
             for o in range(min(counts[u], self.best - 1)):
@@ -233,7 +254,7 @@ class Encoder:
     def alternatives(self, u: str) -> list[tuple[float, tuple[int, ...]]]:
         got = self.more.get(u)
         if got is None:
-            if len(self.more) >= UNITS // 4:
+            if len(self.more) >= CHOICES:
                 self.more.clear()
             got = self.more[u] = n_best(u, self.v, self.best)
         return got
@@ -264,12 +285,12 @@ def load(path: str = MODEL) -> list[tuple[str, float]]:
     return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())]
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, bytes], Encoder] = {}
 
 
 def encoder(pieces: list[tuple[str, float]], best: int) -> Encoder:
     """One per worker process and model, so that tasks share what earlier ones have seen."""
-    key = hash((len(pieces), best, pieces[len(pieces) // 2], pieces[-1]))
+    key = best, hashlib.blake2b(repr(pieces).encode()).digest()
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(Vocabulary(pieces), best)
@@ -288,7 +309,6 @@ def encode(docs: DataFrame, path: str = MODEL, best: int = BEST, names: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared.value, best)
-        spelled = e.v.spelled
         for whole in batches:
             for b in (whole.slice(k, 512) for k in range(0, whole.num_rows, 512)):
                 flat, ends, scores, bests, others, exact = [], [0], [], [], [], []
@@ -301,9 +321,9 @@ def encode(docs: DataFrame, path: str = MODEL, best: int = BEST, names: tuple[st
                         others.append(None)
                         exact.append(None)
                         continue
-                    ids, score, top, edits = e.encode(text)
-                    exact.append(b"".join([spelled[i] for i in ids]) == text.encode("utf-8", "replace"))
-                    flat.append(np.array(ids, np.int32))
+                    ids, score, top, edits, spelled = e.encode(text)
+                    exact.append(spelled)
+                    flat.append(ids)
                     ends.append(ends[-1] + len(ids))
                     scores.append(score)
                     bests.append(top)
