@@ -42,6 +42,15 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def forget(done: DataFrame) -> None:
+    """Delete the files of a checkpointed frame that no later step reads: all that was made of it has its own checkpoint."""
+    rdd = done._jdf.queryExecution().analyzed().rdd()
+    file = rdd.getCheckpointFile()
+    if file.isDefined():
+        path = done.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(done.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 BLOCK = 256
 
 
