@@ -430,29 +430,37 @@ def demo_priors(t):
     )
 
 
-def prior_sql():
-    fam = " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in FAMILY_DEMO.items())
-    met = " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in METHOD_DEMO.items())
+def prior_sql(families=None, methods=None):
+    fam = " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in (families or FAMILY_DEMO).items())
+    met = " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in (methods or METHOD_DEMO).items())
     return f"greatest(weight*(CASE family {fam} ELSE 0.9e0 END)*(CASE method_id {met} ELSE 1.0e0 END),1e-6)"
 
 
-@query("f27_prior_weight", f"SELECT ord, method_id, {R(prior_sql(), 'w')} FROM d_hits")
+# Every hit gets a name of the real tables, or one that they don't have.
+FAMILY_NAMES, METHOD_NAMES = [*PR.FAMILY_PRIOR, "other"], [*PR.METHOD_PRIOR, "OTHER"]
+_NAMED = f"""(SELECT ord, weight, {FAMILY_NAMES}[ord%{len(FAMILY_NAMES)}+1] AS family, {METHOD_NAMES}[ord%{len(METHOD_NAMES)}+1] AS method_id FROM d_hits)"""
+_REAL_PRIOR = prior_sql(PR.FAMILY_PRIOR, PR.METHOD_PRIOR)
+
+
+def with_real_priors(t):
+    name = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (c("ord") % len(names) + 1).cast("int"))
+    rows = t.hits.select("ord", "weight", name(FAMILY_NAMES).alias("family"), name(METHOD_NAMES).alias("method_id"))
+    tables = PR.prior_table(t.spark, PR.FAMILY_PRIOR, "family", "family_prior"), PR.prior_table(t.spark, PR.METHOD_PRIOR, "method_id", "method_prior")
+    return PR.with_prior_weight(rows, *tables, out="w")
+
+
+@query("f27_prior_weight", f"SELECT ord, method_id, {R(_REAL_PRIOR, 'w')} FROM {_NAMED}")
 def _(t):
-    df = PR.with_prior_weight(t.hits, *demo_priors(t), out="w")
-    return out(df, ["ord", "method_id"], w=c("w"))
+    return out(with_real_priors(t), ["ord", "method_id"], w=c("w"))
 
 
 @query(
     "j03_prior_join",
-    f"""SELECT family, count(*) AS n, {R(f'sum({prior_sql()})', 'w_sum', 4)}, count(*) FILTER (WHERE method_id IN
- ('click_0','view_1','signup_2','error_3')) AS n_matched FROM d_hits GROUP BY family""",
+    f"""SELECT family, count(*) AS n, {R(f'sum({_REAL_PRIOR})', 'w_sum', 4)}, count(*) FILTER (WHERE method_id<>'OTHER') AS n_matched FROM {_NAMED} GROUP BY family""",
 )
 def _(t):
-    df = PR.with_prior_weight(t.hits, *demo_priors(t), out="w")
-    return df.groupBy("family").agg(
-        F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("w_sum"),
-        F.count_if(c("method_id").isin(list(METHOD_DEMO))).alias("n_matched"),
-    )
+    return with_real_priors(t).groupBy("family").agg(
+        F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("w_sum"), F.count_if(c("method_id") != "OTHER").alias("n_matched"))
 
 
 @query(
