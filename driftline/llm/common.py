@@ -30,6 +30,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns and all others as the struct `rest`, so that no name of a step can meet one of the caller's."""
+    others = [F.col(f"`{n}`") for n in docs.columns if n not in used]
+    return docs.select(*used, (F.struct(*others) if others else F.lit(0)).alias("rest"))
+
+
+def unpacked(rows: DataFrame, names: list[str], used: tuple[str, ...]) -> DataFrame:
+    """The caller's columns again, in their order."""
+    return rows.select([F.col(n) if n in used else F.col("rest").getField(n).alias(n) for n in names])
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Jobs planned inside drop their shuffle files when they end. For steps that end in a checkpoint, which nothing reads again."""

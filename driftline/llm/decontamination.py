@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, split_words, text_key
+from .common import ascii_lower, packed, split_words, text_key, unpacked
 
 WINDOW = 13
 #: Bytes of window text that one broadcast may hold; larger benchmarks are joined in blocks of items.
@@ -105,4 +105,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-    return docs.join(bad, same, "left_anti")
+    used = ("doc_id", "text")
+    return unpacked(packed(docs, *used).join(bad, same, "left_anti"), docs.columns, used)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import cut
+from .common import packed, unpacked
 
 SAMPLE_DOCS, VOCABULARY, GRAMS, LONGEST = 300, 40_000, 60_000, 4
 UNKNOWN = "und"
@@ -172,8 +173,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that have a language, with all their columns; where no model can be learned, those with letters."""
-    names = docs.columns
     model = learn(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(names)
+    return unpacked(predict(packed(docs, "text"), model).where(F.col("lang_pred") != UNKNOWN), docs.columns, ("text",))

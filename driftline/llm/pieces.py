@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 3
@@ -298,21 +299,24 @@ def encoder(pieces: list[tuple[str, float]], best: int) -> Encoder:
 
 
 FIELDS = "ids array<int>, n_pieces long, score double, best_scores array<double>, others array<array<struct<start:int,count:int,ids:array<int>>>>, exact boolean"
+RESULTS = ("ids", "n_pieces", "score", "best_scores", "others", "exact")
 OTHERS = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
 def encode(docs: DataFrame, path: str = MODEL, best: int = BEST, names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The named columns with ids, n_pieces, score, best_scores, others (what the second to n-th best segmentations change in ids)
-    and exact (decoding returns the text)."""
+    and exact (decoding returns the text). A named column that is called like one of these gets `given_` before its name."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), FIELDS])
+    carried = [F.col(f"`{n}`").alias(f"given_{n}" if n in RESULTS else n) for n in names]
+    schema = docs.select(F.struct(*carried).alias("given")).schema
+    schema = StructType([*schema, *StructType.fromDDL(FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared.value, best)
         for whole in batches:
             for b in (whole.slice(k, 512) for k in range(0, whole.num_rows, 512)):
                 flat, ends, scores, bests, others, exact = [], [0], [], [], [], []
-                texts = b.column("_text").to_pylist()
+                given, texts = b.column(0), b.column(1).to_pylist()
                 for text in texts:
                     if text is None:
                         ends.append(ends[-1])
@@ -332,11 +336,11 @@ def encode(docs: DataFrame, path: str = MODEL, best: int = BEST, names: tuple[st
                 null = np.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32), mask=np.append(null, False)), values)
                 counts = pa.array(np.diff(ends), pa.int64(), mask=null)
-                columns = [b.column(n) for n in names] + [lists, counts, pa.array(scores, pa.float64()), pa.array(bests, pa.list_(pa.float64()))]
+                columns = [given, lists, counts, pa.array(scores, pa.float64()), pa.array(bests, pa.list_(pa.float64()))]
                 columns += [pa.array(others, OTHERS), pa.array(exact, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "n_pieces", "score", "best_scores", "others", "exact"])
+                yield pa.RecordBatch.from_arrays(columns, names=["given", *RESULTS])
 
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.struct(*carried).alias("given"), "text").mapInArrow(run, schema).select("given.*", *RESULTS)
 
 
 def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, running_totals
+from .common import let, packed, running_totals, unpacked
 from .urls import ORDINARY_WORDS
 
 # The patterns of the three base kinds.
@@ -173,6 +173,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         F.aggregate("all_spans", zero, step), lambda s: F.concat(s["out"], F.substr(F.col("text"), (s["upto"] + 1).cast("int"), F.lit(2147483647)))
     )
     text = F.when(F.size("all_spans") > 0, done).otherwise(F.col("text"))
-    names = docs.columns
-    out = scan(docs).withColumn("text", text)
-    return out.select(*[F.col(c) for c in names])
+    used = ("doc_id", "text")
+    return unpacked(scan(packed(docs, *used)).withColumn("text", text), docs.columns, used)
