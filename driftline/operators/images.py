@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +50,7 @@ def dark_pixels(frames: DataFrame, width: int, percentiles: list[float], keys: l
 
 
 def weighted_centre(w) -> dict[str, Column]:
-    s = total("mask", w)
+    s = F.nullif(total("mask", w), F.lit(0.0))
     return {"cx": total("mask", lambda p: w(p) * p["x"]) / s, "cy": total("mask", lambda p: w(p) * p["y"]) / s}
 
 
@@ -71,10 +70,15 @@ def otsu_barycentre(frames: DataFrame, width: int, keys, bins: int = 64) -> Data
     f = settle(frames.select(*keys, F.filter(pixels_of(c("data"), width), lambda p: p["v"] > 0).alias("px")))
     v = F.transform("px", lambda p: p["v"])
     f = settle(f.withColumns({"vmax": F.array_max(v), "vmin": F.array_min(v)}).withColumn("span", c("vmax") - c("vmin")))
-    slot = lambda p: F.least(F.floor((c("vmax") - p["v"]) / c("span") * bins), F.lit(bins - 1)).cast("int")
+    slot = lambda p: F.least(F.floor((c("vmax") - p["v"]) / F.nullif("span", F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     f = settle(f.withColumn("slots", F.transform("px", slot)))
     n = F.size("slots")
-    share = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter("slots", lambda s: s == k)) / n)
+    f = settle(f.withColumn("slots", F.array_sort("slots")))
+    # ends of the runs of equal slots: one pass over the pixels, then a short list
+    last = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (F.get("slots", i) != F.get("slots", i + 1)))
+    f = settle(f.withColumn("_ends", F.when(n > 0, last).otherwise(F.array().cast("array<int>"))))
+    upto = lambda k: F.coalesce(F.array_max(F.filter("_ends", lambda i: F.get("slots", i) <= k)) + 1, F.lit(0))
+    share = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: (upto(k) - upto(k - 1)) / F.nullif(n, F.lit(0)))
     f = settle(f.withColumn("p", share))
     f = settle(f.withColumn("mu_t", F.aggregate(
         F.arrays_zip(c("p").alias("p"), F.sequence(F.lit(0), F.lit(bins - 1)).alias("k")), F.lit(0.0), lambda a, z: a + z["p"] * z["k"])))
@@ -138,10 +142,16 @@ def percentile_ladder(frames: DataFrame, width: int, height: int, keys, levels=(
 
 
 def column_means(width: int) -> Column:
-    """Mean of valid pixels per column; NULL where none."""
+    """Mean of valid pixels per column of `data`; NULL where none. Each column is walked by index, so all of them are one pass."""
+    rows = F.floor(F.size("data") / width).cast("int")
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("n"))
+
     def one(x):
-        col = F.filter("px", lambda p: p["x"] == x)
-        return F.when(F.size(col) > 0, total(col, lambda p: p["v"]) / F.size(col))
+        def step(s, y):
+            v = F.get(c("data"), y * width + x)
+            return F.struct((s["t"] + F.when(v > 0, v).otherwise(F.lit(0.0))).alias("t"), (s["n"] + F.when(v > 0, 1).otherwise(F.lit(0))).alias("n"))
+
+        return F.aggregate(F.sequence(F.lit(0), rows - 1), zero, step, lambda s: F.when(s["n"] > 0, s["t"] / s["n"]))
 
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), one)
 
@@ -155,8 +165,7 @@ def smooth(name: str, width: int, k: int) -> Column:
 
 def longitude_scan(frames: DataFrame, width: int, keys, k: int = 3) -> DataFrame:
     """Darkest column of the smoothed mean profile with a parabola, and the half-depth centre and width around it."""
-    f = settle(frames.select(*keys, F.filter(pixels_of(c("data"), width), lambda p: p["v"] > 0).alias("px")))
-    f = settle(f.withColumn("_row", column_means(width)))
+    f = settle(frames.select(*keys, column_means(width).alias("_row")))
     med = quantile(F.array_sort(F.filter("_row", lambda v: v.isNotNull())), 0.5)
     f = settle(f.withColumn("_fill", med))
     f = settle(f.withColumn("row", F.transform("_row", lambda v: F.coalesce(v, c("_fill")))))
@@ -176,8 +185,7 @@ def longitude_scan(frames: DataFrame, width: int, keys, k: int = 3) -> DataFrame
 
 def gaussian_profile(frames: DataFrame, width: int, keys, rounds: int = 3) -> DataFrame:
     """Centre and variance of the inverted mean profile, refined with a Gaussian window."""
-    f = settle(frames.select(*keys, F.filter(pixels_of(c("data"), width), lambda p: p["v"] > 0).alias("px")))
-    f = settle(f.withColumn("_row", column_means(width)))
+    f = settle(frames.select(*keys, column_means(width).alias("_row")))
     f = settle(f.withColumn("_fill", quantile(F.array_sort(F.filter("_row", lambda v: v.isNotNull())), 0.5)))
     f = settle(f.withColumn("row", F.transform("_row", lambda v: F.coalesce(v, c("_fill")))))
     f = settle(f.withColumn("_mx", F.array_max("row")))
@@ -297,34 +305,52 @@ def iterated_centres(
 
 
 def histogram_mode(frames: DataFrame, width: int, keys, perc: float = 15.0, cell: int = 2) -> DataFrame:
-    """Cell of the coarse grid with most dark pixels, neighbours counting half; first cell on ties."""
-    d = dark_pixels(frames, width, [perc], keys)
-    n = -(-width // cell)
-    cells = F.transform("mask", lambda p: F.struct(F.floor(p["y"] / cell).alias("cy"), F.floor(p["x"] / cell).alias("cx")))
-    d = settle(d.withColumn("cells", cells))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.struct(
-        (-F.aggregate("cells", F.lit(0.0), lambda s, q: s + F.when(
-            (q["cy"] == F.floor(k / n)) & (q["cx"] == k % n), F.lit(1.0)).when(
-            (F.abs(q["cy"] - F.floor(k / n)) <= 1) & (F.abs(q["cx"] - k % n) <= 1), F.lit(0.5)).otherwise(F.lit(0.0)))).alias("neg"),
-        k.alias("k")))
-    d = settle(d.withColumn("best", F.array_min(grid)))
+    """Cell of the coarse grid with most dark pixels, neighbours counting half; first cell on ties. Each cell counts its own pixels by
+    index, and the votes look up nine counts: linear in the pixels."""
+    vals = F.array_sort(F.filter("data", lambda v: v > 0))
+    d = settle(frames.select(*keys, "data", quantile(vals, perc / 100.0).alias("thr")))
+    rows, across = F.floor(F.size("data") / width).cast("int"), -(-width // cell)
+    down = F.ceil(rows / cell).cast("int")
+
+    def dark(k):
+        def one(s, j):
+            y, x = F.floor(k / across).cast("int") * cell + F.floor(j / cell).cast("int"), (k % across) * cell + j % cell
+            v = F.get(c("data"), y * width + x)
+            return s + F.when((x < width) & (y < rows) & (v > 0) & (v <= c("thr")), 1.0).otherwise(F.lit(0.0))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(cell * cell - 1)), F.lit(0.0), one)
+
+    cells = F.sequence(F.lit(0), down * across - 1)
+    d = settle(d.select(*keys, down.alias("down"), F.transform(cells, dark).alias("n")))
+
+    def votes(k):
+        y, x = F.floor(k / across).cast("int"), k % across
+        near = [
+            F.when((y + dy >= 0) & (y + dy < c("down")) & (x + dx >= 0) & (x + dx < across), F.get("n", k + dy * across + dx)).otherwise(F.lit(0.0))
+            for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx
+        ]
+        return F.get("n", k) + 0.5 * sum(near[1:], near[0])
+
+    cells = F.sequence(F.lit(0), F.size("n") - 1)
+    d = settle(d.withColumn("best", F.array_min(F.transform(cells, lambda k: F.struct((-votes(k)).alias("neg"), k.alias("k"))))))
     return d.select(
-        *keys, (-c("best.neg")).alias("votes"), ((c("best.k") % n + 0.5) * cell - 0.5).alias("cx"),
-        ((F.floor(c("best.k") / n) + 0.5) * cell - 0.5).alias("cy"))
+        *keys, (-c("best.neg")).alias("votes"), ((c("best.k") % across + 0.5) * cell - 0.5).alias("cx"),
+        ((F.floor(c("best.k") / across) + 0.5) * cell - 0.5).alias("cy"))
 
 
 def laplacian_variance(frames: DataFrame, width: int, height: int, keys, keep: float = 0.30, least: int = 16) -> DataFrame:
     """Variance of the five-point Laplacian over inner pixels among the brightest share."""
     f = settle(frames.withColumn("thr", quantile(F.array_sort("data"), int((1.0 - keep) * 100) / 100.0)))
-    inner = [y * width + x for y in range(1, height - 1) for x in range(1, width - 1)]
     at = lambda i: F.get("data", i)
+    inner = lambda i: (i % width > 0) & (i % width < width - 1)
     lap = F.transform(
-        F.filter(F.array(*[F.lit(i) for i in inner]), lambda i: at(i) >= c("thr")),
+        F.filter(F.sequence(F.lit(width), F.lit(max(width * (height - 1) - 1, width))), lambda i: inner(i) & (at(i) >= c("thr"))),
         lambda i: at(i + width) + at(i - width) + at(i + 1) + at(i - 1) - 4.0 * at(i))
     f = settle(f.select(*keys, lap.alias("lap")))
     n = F.size("lap")
-    f = settle(f.withColumn("_m", total("lap") / n))
-    var = total("lap", lambda v: (v - c("_m")) * (v - c("_m"))) / n
+    some = F.nullif(n, F.lit(0))
+    f = settle(f.withColumn("_m", total("lap") / some))
+    var = total("lap", lambda v: (v - c("_m")) * (v - c("_m"))) / some
     return f.select(*keys, n.alias("n"), F.when(n >= least, var).otherwise(F.lit(0.0)).alias("sharp"))
 
 
@@ -421,26 +447,65 @@ def row_warp(frames: DataFrame, width: int, keys, shifts: list[float]) -> DataFr
 
 
 def border_plane(frames: DataFrame, width: int, height: int, keys) -> DataFrame:
-    """Plane a + b x + c y through the border pixels. The design is the same for all frames, so the solution is linear
-    in the pixel values with fixed weights."""
-    return _border_fit(frames, width, height, keys, ["a", "b", "c"], lambda y, x: [1.0, x, y])
+    """Plane a + b x + c y through the border pixels by least squares."""
+    return _border_fit(frames, width, height, keys, {"a": (0, 0), "b": (1, 0), "c": (0, 1)})
 
 
 def border_quadratic(frames: DataFrame, width: int, height: int, keys) -> DataFrame:
-    """Second-order border surface a + b x + c y + d x^2 + e x y + f y^2."""
-    return _border_fit(
-        frames, width, height, keys, ["a", "b", "c", "d", "e", "f"], lambda y, x: [1.0, x, y, x * x, x * y, y * y])
-
-
-def _border_fit(frames, width, height, keys, names, basis) -> DataFrame:
-    px = [(y, x) for y in range(height) for x in range(width)
-          if y < height * 0.05 or y > height * 0.95 or x < width * 0.05 or x > width * 0.95]
-    solve = np.linalg.pinv(np.array([basis(float(y), float(x)) for y, x in px]))
-    cols = []
-    for j, name in enumerate(names):
-        w = F.array(*[F.struct(F.lit(y * width + x).alias("i"), F.lit(float(solve[j, m])).alias("w")) for m, (y, x) in enumerate(px)])
-        cols.append(F.aggregate(w, F.lit(0.0), lambda s, q: s + q["w"] * F.get(c("data"), q["i"])).alias(name))
-    return frames.select(*keys, *cols)
+    """Second-order border surface a + b x + c y + d x^2 + e x y + f y^2 by least squares; a term that is zero on all border pixels gets 0."""
+    return _border_fit(frames, width, height, keys, {"a": (0, 0), "b": (1, 0), "c": (0, 1), "d": (2, 0), "e": (1, 1), "f": (0, 2)})
+
+
+def solve_normal(df: DataFrame, s: str, r: str, n: int, out: list[str]) -> DataFrame:
+    """Solution of S z = r by Cholesky steps in column arithmetic. `s` holds the lower triangle of S by rows, `r` the right side.
+
+    An unknown whose pivot vanishes (beside its diagonal entry) adds nothing that the ones before it don't, and is 0.
+    """
+    at = lambda i, j: F.get(c(s), F.lit(i * (i + 1) // 2 + j))
+    less = lambda v, terms: sum((-t for t in terms), v)
+    low, y, z = (lambda i, j: c(f"_l{i}_{j}")), (lambda i: c(f"_y{i}")), (lambda i: c(f"_z{i}"))
+    for j in range(n):
+        pivot = less(at(j, j), (low(j, k) * low(j, k) for k in range(j)))
+        df = df.withColumn(f"_l{j}_{j}", F.when(pivot > 1e-12 * at(j, j), F.sqrt(pivot)).otherwise(F.lit(0.0)))
+        over = lambda v: F.when(low(j, j) > 0, v / low(j, j)).otherwise(F.lit(0.0))  # noqa: E731, B023
+        df = df.withColumns({
+            **{f"_l{i}_{j}": over(less(at(i, j), (low(i, k) * low(j, k) for k in range(j)))) for i in range(j + 1, n)},
+            f"_y{j}": over(less(F.get(c(r), F.lit(j)), (low(j, k) * y(k) for k in range(j)))),
+        })
+    for j in reversed(range(n)):
+        v = less(y(j), (low(k, j) * z(k) for k in range(j + 1, n)))
+        df = df.withColumn(f"_z{j}", F.when(low(j, j) > 0, v / low(j, j)).otherwise(F.lit(0.0)))
+    names = [f"_l{i}_{j}" for i in range(n) for j in range(i + 1)] + [f"_y{i}" for i in range(n)]
+    return df.withColumns({name: z(i) for i, name in enumerate(out)}).drop(*names, *[f"_z{i}" for i in range(n)])
+
+
+def _border_fit(frames, width, height, keys, powers: dict[str, tuple[int, int]]) -> DataFrame:
+    """Moments of the valid border pixels of each frame by index arithmetic, then normal equations. x and y are scaled to at most 1."""
+    sx, sy = 1.0 / max(width - 1, 1), 1.0 / max(height - 1, 1)
+    names = list(powers)
+    x, y = (lambda i: i % width), (lambda i: F.floor(i / width))
+    border = lambda i: (y(i) < height * 0.05) | (y(i) > height * 0.95) | (x(i) < width * 0.05) | (x(i) > width * 0.95)
+    v = lambda i: F.get(c("data"), i)
+    valid = lambda i: v(i).isNotNull() & ~F.isnan(v(i))
+    px = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: border(i) & valid(i)),
+        lambda i: F.struct((x(i) * sx).alias("x"), (y(i) * sy).alias("y"), v(i).alias("v")),
+    )
+    f = settle(frames.select(*keys, px.alias("_px")))
+
+    def term(p, n, m):
+        factors = [p["x"]] * n + [p["y"]] * m
+        out = F.lit(1.0)
+        for q in factors:
+            out = out * q
+        return out
+
+    pairs = [(powers[a], powers[b]) for i, a in enumerate(names) for b in names[: i + 1]]
+    sums = F.array(*[total("_px", lambda p, a=a, b=b: term(p, a[0] + b[0], a[1] + b[1])) for a, b in pairs])
+    right = F.array(*[total("_px", lambda p, a=a: term(p, *a) * p["v"]) for a in powers.values()])
+    f = settle(f.select(*keys, sums.alias("_s"), right.alias("_r")))
+    f = solve_normal(f, "_s", "_r", len(names), names)
+    return f.select(*keys, *[(c(k) * (sx**n * sy**m)).alias(k) for k, (n, m) in powers.items()])
 
 
 def disk_median(vals_sorted) -> Column:

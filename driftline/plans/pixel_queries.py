@@ -134,10 +134,10 @@ K2 = "capture_id, frame_idx"
     f"""WITH t AS (SELECT {K2}, quantile_cont(v,0.7e0) AS thr FROM (SELECT {K2}, unnest(data) AS v FROM d_img) GROUP BY ALL),
 l AS (SELECT i.{K2.replace(', ', ', i.')}, data, thr, unnest([10,11,12,13,14,15,18,19,20,21,22,23,26,27,28,29,30,31,34,35,36,37,38,39,42,43,44,45,46,47,50,51,52,53,54,55]) AS k FROM d_img i JOIN t USING ({K2})),
 m AS (SELECT {K2}, data[k+8]+data[k-8]+data[k+1]+data[k-1]-4*data[k] AS lap FROM l WHERE data[k]>=thr)
-SELECT {K2}, count(*)::INTEGER AS n, {R('CASE WHEN count(*)>=6 THEN var_pop(lap) ELSE 0 END', 'sharp')} FROM m GROUP BY ALL""",
+SELECT {K2}, count(lap)::INTEGER AS n, {R('CASE WHEN count(lap)>=6 THEN var_pop(lap) ELSE 0 END', 'sharp')} FROM d_img LEFT JOIN m USING ({K2}) GROUP BY ALL""",
 )
 def _(t):
-    return out(IM.laplacian_variance(images(t), 8, 8, FRAME, least=6).where("n > 0"), [*FRAME, "n"], sharp=c("sharp"))
+    return out(IM.laplacian_variance(images(t), 8, 8, FRAME, least=6), [*FRAME, "n"], sharp=c("sharp"))
 
 
 @query(
@@ -474,7 +474,19 @@ def _(t):
     return rounded(IM.border_plane(t.frames, 8, 8, FRAME), FRAME)
 
 
-@query("x29b_border_quadratic")
+# The border of 8 x 8 pixels is the first row and the first column, so x y is 0 there. Per arm the residuals of 1 and of the values
+# against (x, x^2) give the constant, and that gives the arm's two coefficients.
+_ARM = f"""w AS (SELECT {K2}, pos, v FROM (SELECT {K2}, unnest(range(64)) AS pos, unnest(data) AS v FROM d_frames)),
+arm AS (SELECT {K2}, 'x' AS arm, pos::DOUBLE AS u, v FROM w WHERE pos BETWEEN 1 AND 7 UNION ALL SELECT {K2}, 'y', (pos//8)::DOUBLE, v FROM w WHERE pos%8=0 AND pos>0),
+mo AS (SELECT {K2}, arm, sum(u) s1, sum(u*u) s2, sum(u*u*u) s3, sum(u*u*u*u) s4, sum(u*v) q1, sum(u*u*v) q2, sum(v) q0, count(*) n FROM arm GROUP BY ALL),
+co AS (SELECT *, (s4*s1-s3*s2)/(s2*s4-s3*s3) AS e1, (s2*s2-s3*s1)/(s2*s4-s3*s3) AS e2, (s4*q1-s3*q2)/(s2*s4-s3*s3) AS g1, (s2*q2-s3*q1)/(s2*s4-s3*s3) AS g2 FROM mo),
+ca AS (SELECT {K2}, sum(q0-e1*q1-e2*q2) AS top, sum(n-e1*s1-e2*s2) AS bottom FROM co GROUP BY ALL),
+cz AS (SELECT {K2}, (top+v)/(bottom+1) AS a FROM ca JOIN (SELECT {K2}, v FROM w WHERE pos=0) USING ({K2})),
+fit AS (SELECT {K2}, any_value(a) AS a, max(g1-a*e1) FILTER (WHERE arm='x') AS b, max(g1-a*e1) FILTER (WHERE arm='y') AS c, max(g2-a*e2) FILTER (WHERE arm='x') AS d,
+  0.0e0 AS e, max(g2-a*e2) FILTER (WHERE arm='y') AS f FROM co JOIN cz USING ({K2}) GROUP BY ALL)"""
+
+
+@query("x29b_border_quadratic", f"WITH {_ARM} SELECT {K2}, {', '.join(R(k, k) for k in 'abcdef')} FROM fit")
 def _(t):
     return rounded(IM.border_quadratic(t.frames, 8, 8, FRAME), FRAME)
 
